@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Letters that print alike, other script -> Latin.
 LOOK_ALIKES = {
@@ -143,6 +145,23 @@ def narrow(codes: np.ndarray, bounds: np.ndarray, valid: np.ndarray | None = Non
     return made.cast(pa.string())
 
 
+PORTION = 1 << 20
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of one text column, so that the arrays over it stay small.
+
+    A single longer text is a slice of its own; no text is split.
+    """
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def unify_codes(codes: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Expand, order the marks and compose; rows never merge across ``bounds``."""
     n_rows = len(bounds) - 1

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .codepoints import portions
 
 #: A word enters the model if it makes up this share of its label's words; so a label has at most 1 / SHARE words.
 SHARE = 5e-6
@@ -90,7 +91,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = W.classes()[1]
-        for batch in batches:
+        for batch in portions(batches, 1):
             labels = batch.column(0).to_pylist()
             names, label_of = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
             codes, bounds = W.unified(batch.column(1))
@@ -320,7 +321,7 @@ def segments(texts: DataFrame, model: Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 3):
             at, no, many, lang, confidence, first, last = [], [], [], [], [], [], []
             for r, found in segments_of(batch.column(3), shared.value):
                 for k, (code, c, a, b) in enumerate(found, 1):

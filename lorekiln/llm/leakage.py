@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lorekiln.session import store
 
 from . import words as W
+from .codepoints import portions
 
 SEED, MIN_WORDS, ONE_IN = 5, 12, 8
 #: Up to so many distinct test words are filtered while the index is built; beyond, the index is joined with them.
@@ -71,7 +72,7 @@ def positional_index(documents: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     wanted = spark.sparkContext.broadcast(np.sort(vocabulary) if few else np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             row, term = _terms(batch.column(1))
             position = _positions(row)
             if few:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
+from .codepoints import portions
 
 #: Thresholds of the log-likelihood scores, as published.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
@@ -126,7 +127,7 @@ def count_words(texts: DataFrame, model: langid.Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             parts = [t[a:b] for t in batch.column(0).to_pylist() if t for a, b in paragraphs(t)]
             by_lang: dict[str, Counter] = {}
             for lang, part in zip(paragraph_languages(parts, shared.value), parts):
@@ -339,7 +340,7 @@ def sentence_units(documents: DataFrame, model: langid.Model, statistics: Statis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, statistics = shared.value
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             parts = [paragraphs(t) for t in texts]
             langs = iter(paragraph_languages([t[a:b] for t, p in zip(texts, parts) for a, b in p], model))
