@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.session import store
+
 from . import langid
 from .codepoints import portions
 
@@ -375,4 +377,5 @@ def segment(documents: DataFrame) -> DataFrame:
     """Fit the language model and the period statistics on (doc_id, lang, text), then cut all texts."""
     labelled = documents.select(langid.normal_label(F.col("lang")).alias("label"), "text")
     model = langid.fit(labelled)
-    return sentence_units(documents, model, learn(count_words(documents, model)))
+    counts = store(count_words(documents, model), "word-counts")  # read twice: totals and types
+    return sentence_units(documents, model, learn(counts))
