@@ -259,7 +259,8 @@ def units(text: str, lang_of: list[str], s: Statistics, parts: list[tuple[int, i
                 break
             if thai and (k := bisect_right(thai, m.start())) and thai[k - 1] > unit:
                 unit = thai[k - 1]
-            if _ends(part, unit, m, lang, s):
+            at = _ends(part, unit, m, lang, s)
+            if at:
                 cuts.append((at, "TerminalPunctuation"))
                 unit = at
         at = 0
@@ -276,12 +277,16 @@ def units(text: str, lang_of: list[str], s: Statistics, parts: list[tuple[int, i
     return out
 
 
-def _ends(part: str, unit: int, m: re.Match, lang: str, s: Statistics) -> bool:
+def _ends(part: str, unit: int, m: re.Match, lang: str, s: Statistics) -> int:
+    """Where the unit ends at this terminal, or 0 if it goes on."""
     terminal, closers = m.group(1), m.group(2)
     at = m.end()
-    if closers and closers[-1] in "\"“'’" and part[at : at + 1].strip() and closers[-1] in "\"“" and not part[m.end(1) : m.end(1) + 1].isspace() and _opens(part, unit, m.end() - 1):
+    if closers and closers[-1] in "\"“" and part[at : at + 1].strip() and _opens(part, unit, at - 1):
         closers, at = closers[:-1], at - 1  # the mark opens the next quotation
-    after = part[at:]
+    return at if _breaks(part, unit, m, terminal, closers, part[at:], lang, s) else 0
+
+
+def _breaks(part: str, unit: int, m: re.Match, terminal: str, closers: str, after: str, lang: str, s: Statistics) -> bool:
     rest = after.lstrip()
     if not rest:
         return True
