@@ -147,6 +147,30 @@ def passages(doc: np.ndarray, item: np.ndarray, shifts: set[int]) -> tuple[int,
     return (best[1], best[0], int(covered.sum())) if best[0] >= MIN_WORDS else None
 
 
+class Items:
+    """The words of all test items end to end, with room between them for looking SEED - 1 words to each side."""
+
+    def __init__(self, terms: dict[int, np.ndarray]) -> None:
+        self.terms = terms
+        self.ids = np.array(sorted(terms), np.int64)
+        gap = np.full(SEED - 1, -1, np.int64)
+        parts, at, starts = [gap], len(gap), []
+        for i in self.ids.tolist():
+            starts.append(at)
+            parts += [terms[i], gap]
+            at += len(terms[i]) + len(gap)
+        self.flat, self.starts = np.concatenate(parts), np.array(starts, np.int64)
+
+    def phrases(self, doc: np.ndarray, of: np.ndarray, ipos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which look-ups of a rarest word lie in an exact run of SEED words: the offset-adjusted neighbours agree."""
+        reach = np.arange(1, SEED)
+        centre = self.starts[np.searchsorted(self.ids, of)] + ipos
+        padded = np.concatenate((np.zeros(SEED - 1, np.int64), doc, np.zeros(SEED - 1, np.int64)))
+        place = at.astype(np.int64) + SEED - 1
+        side = lambda step: np.cumprod(self.flat[centre[:, None] + step * reach] == padded[place[:, None] + step * reach], axis=1).sum(axis=1)
+        return side(-1) + side(1) + 1 >= SEED
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_start, passage_words, covered_words): one row per document and leaked item.
 
@@ -163,10 +187,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, item_start int, passage_words int, covered_words int")
     starts = spark.createDataFrame(seeds.astype({"item_id": "int64", "ipos": "int32", "term": "int64"}))
     # the query set is stated and fixed in size, so its seeds may be broadcast if Spark finds them small
-    hits = index.join(starts, "term").select("doc_id", "item_id", (F.col("position") - F.col("ipos")).alias("shift"))
-    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
+    hits = index.join(starts, "term").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "ipos", "position")).alias("hits"))
     lists = index.groupBy("doc_id").agg(F.collect_list(F.struct("position", "term")).alias("postings"))
-    item_of = spark.sparkContext.broadcast({int(i): g.term.to_numpy() for i, g in terms.groupby("item_id")})
+    item_of = spark.sparkContext.broadcast(Items({int(i): g.term.to_numpy() for i, g in terms.groupby("item_id")}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,15 +198,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 place, term = (post.values.field(k).to_numpy() for k in ("position", "term"))
                 doc = np.zeros(int(place.max()) + 1, np.int64)
                 doc[place] = term
-                of, shift = (hit.values.field(k).to_numpy() for k in ("item_id", "shift"))
+                of, ipos, at = (hit.values.field(k).to_numpy() for k in ("item_id", "ipos", "position"))
+                kept = item_of.value.phrases(doc, of, ipos, at)
+                of, shift = of[kept], (at - ipos)[kept]
                 for item_id in np.unique(of):
-                    item = item_of.value[int(item_id)]
-                    kept = set()
-                    for s in np.unique(shift[of == item_id]).tolist():
-                        runs = np.convolve(_aligned(doc, item, s), np.ones(SEED, np.int64))
-                        if runs.max() >= SEED:  # the rarest word's neighbours stand where they should
-                            kept.add(s)
-                    if kept and (p := passages(doc, item, kept)):
+                    if p := passages(doc, item_of.value.terms[int(item_id)], set(shift[of == item_id].tolist())):
                         rows.append((doc_id, int(item_id), *p))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
