@@ -5,7 +5,8 @@ and Japanese, whole runs of Thai, single marks), with a sign for each
 paragraph end and one for the end of the text. All trigrams of all texts are
 counted, inside against at ends, and rolled up to bigrams and single tokens.
 An end is a paragraph end that isn't the end of the text, or, for a word, a
-closed sentence there; the last trigram of a text is never its own evidence.
+closed sentence there; for a trigram that closes with a mark, also the ends of
+other texts. The last trigram of a text is never its own evidence.
 
 A text is cut if
  * a mark of a cut stands at its end (``[...]``, the replacement character), or
@@ -95,12 +96,18 @@ WHERE w3 <> '¶'
 GROUP BY w1, w2, w3
 """
 
+LAST_SQL = """
+SELECT doc_id, source, content, t[n - 3] AS w1, t[n - 2] AS w2, t[n - 1] AS w3 FROM {texts} WHERE n > 2
+"""
+
 FOUND_SQL = f"""
-WITH last AS (
-  SELECT doc_id, source, content, t[n - 3] AS w1, t[n - 2] AS w2, t[n - 1] AS w3,
-         CASE WHEN t[n - 1] IN ({_list(TERMINAL + CLOSER)}) THEN {ENOUGH_MARKS} ELSE {ENOUGH} END AS enough
-  FROM {{texts}} WHERE n > 2
-), closing AS (SELECT w1, w2, w3 FROM last GROUP BY w1, w2, w3 HAVING count(DISTINCT content) >= {CLOSING}
+WITH ending AS (
+  SELECT doc_id, source, content, w1, w2, w3, w3 IN ({_list(TERMINAL + CLOSER)}) AS marked,
+         CASE WHEN w3 IN ({_list(TERMINAL + CLOSER)}) THEN {ENOUGH_MARKS} ELSE {ENOUGH} END AS enough
+  FROM {{last}}
+), closing AS (SELECT w1, w2, w3, marked, count(DISTINCT content) AS texts FROM ending GROUP BY w1, w2, w3, marked
+), closing2 AS (SELECT w2, w3, sum(texts) AS texts FROM closing WHERE marked GROUP BY w2, w3
+), closing1 AS (SELECT w3, sum(texts) AS texts FROM closing2 GROUP BY w3
 ), two AS (SELECT w2, w3, sum(n) AS n, sum(ends) AS ends FROM {{grams}} GROUP BY w2, w3
 ), one AS (SELECT w3, sum(n) AS n, sum(ends) AS ends FROM two GROUP BY w3
 ), open2 AS (  -- what longer known words begin with, after the word before
@@ -111,16 +118,18 @@ WITH last AS (
 SELECT l.doc_id, l.source, l.w3 AS last_token,
   CASE WHEN l.w3 IN ({_list(CUT_MARK)}) THEN 'mark'
        WHEN l.w3 IN ({_list(ELLIPSIS)}) AND a.n IS NULL THEN 'mark'
-       WHEN a.n >= l.enough THEN CASE WHEN a.ends <= {RARELY} * a.n THEN 'sentence' END
+       WHEN a.n >= l.enough THEN CASE WHEN a.ends + x.more <= {RARELY} * (a.n + x.more) THEN 'sentence' END
        WHEN o2.n > {OFTENER} * coalesce(b.n, 0) THEN 'word'
        WHEN c.n IS NULL AND o1.w3 IS NOT NULL THEN 'word'
-       WHEN a.n IS NULL AND x.w3 IS NOT NULL THEN NULL
-       WHEN b.n >= l.enough THEN CASE WHEN b.ends <= {RARELY} * b.n THEN 'sentence' END
-       WHEN c.n >= l.enough THEN CASE WHEN c.ends <= {RARELY} * c.n THEN 'sentence' END
+       WHEN a.n IS NULL AND x.texts >= {CLOSING} THEN NULL
+       WHEN b.n >= l.enough THEN CASE WHEN b.ends + coalesce(x2.texts - 1, 0) <= {RARELY} * (b.n + coalesce(x2.texts - 1, 0)) THEN 'sentence' END
+       WHEN c.n >= l.enough THEN CASE WHEN c.ends + coalesce(x1.texts - 1, 0) <= {RARELY} * (c.n + coalesce(x1.texts - 1, 0)) THEN 'sentence' END
   END AS cut_inside
-FROM last l
+FROM ending l
 LEFT JOIN {{grams}} a ON a.w1 = l.w1 AND a.w2 = l.w2 AND a.w3 = l.w3
-LEFT JOIN closing x ON x.w1 = l.w1 AND x.w2 = l.w2 AND x.w3 = l.w3
+JOIN (SELECT *, CASE WHEN marked THEN texts - 1 ELSE 0 END AS more FROM closing) x ON x.w1 = l.w1 AND x.w2 = l.w2 AND x.w3 = l.w3
+LEFT JOIN closing2 x2 ON x2.w2 = l.w2 AND x2.w3 = l.w3
+LEFT JOIN closing1 x1 ON x1.w3 = l.w3
 LEFT JOIN two b ON b.w2 = l.w2 AND b.w3 = l.w3
 LEFT JOIN one c ON c.w3 = l.w3
 LEFT JOIN open2 o2 ON o2.w2 = l.w2 AND o2.w3 = l.w3
@@ -141,7 +150,8 @@ def judged(documents: DataFrame) -> DataFrame:
     tokens = _sql(spark, TOKENS_SQL, documents=documents.select("doc_id", "source", "text"))
     texts = _sql(spark, CLEAN_SQL, tokens=tokens)
     grams = store(_sql(spark, GRAMS_SQL, texts=texts), "trigrams")
-    return _sql(spark, FOUND_SQL, texts=texts, grams=grams)
+    last = store(_sql(spark, LAST_SQL, texts=texts), "last-trigrams")
+    return _sql(spark, FOUND_SQL, last=last, grams=grams)
 
 
 def cut_documents(documents: DataFrame) -> DataFrame:
