@@ -41,10 +41,6 @@ TOKEN = (
     r"\[(?:\.{3}|…)\]|\.{2,}|…+|\p{N}+(?:[.,:]\p{N}+)*|\p{IsThai}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]"
     r"|(?:[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]])+(?:['’]\p{L}+)*|[^\s\p{Z}]"
 )
-TOKEN_RE2 = (
-    r"\[(?:\.{3}|…)\]|\.{2,}|…+|\p{N}+(?:[.,:]\p{N}+)*|\p{Thai}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]"
-    r"|(?:\p{Latin}|\p{Greek}|\p{Cyrillic}|\p{Devanagari}|\p{M})+(?:['’]\p{L}+)*|[^\s\p{Z}]"
-)
 
 
 def _list(values: list[str]) -> str:
