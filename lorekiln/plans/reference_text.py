@@ -214,8 +214,17 @@ ONTOLOGY = r"""links AS (SELECT id, parent FROM (
   closed AS (SELECT src, dst FROM steps UNION SELECT c.src, s.dst FROM closed c JOIN steps s ON c.dst = s.src)"""
 
 
+def _relations(spark, sf):
+    return _links(spark, sf).withColumn("relation", F.when(F.ascii("src") % 2 == 0, "After").otherwise("Before"))
+
+
 def q_temporal_closure(spark, sf):
-    return T.before_closure(_links(spark, sf).withColumn("relation", F.when(F.ascii("src") % 2 == 0, "After").otherwise("Before")).where("relation = 'Before'"))
+    """The Before half alone, as its SQL has it; q_temporal_closure_both closes all links."""
+    return T.before_closure(_relations(spark, sf).where("relation = 'Before'"))
+
+
+def q_temporal_closure_both(spark, sf):
+    return T.before_closure(_relations(spark, sf))
 
 
 def q_temporal_conflicts(spark, sf):
@@ -424,6 +433,7 @@ SQL = {
     "q_dangling_edges": "SELECT DISTINCT mention_id::VARCHAR AS src, concept AS dst, 'dst' AS missing FROM mention_resolution_profile WHERE mention_id IS NOT NULL AND concept IS NOT NULL AND concept NOT IN (SELECT id FROM ontology_entry WHERE id IS NOT NULL)",
     "q_ontology_closure": f"WITH RECURSIVE {GRAPH}, closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON c.dst = e.src) SELECT DISTINCT src, dst FROM closed",
     "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'odd AS (SELECT * FROM steps WHERE ascii(src) % 2 = 1), closed AS').replace('FROM steps UNION', 'FROM odd UNION').replace('JOIN steps s', 'JOIN odd s')} SELECT DISTINCT src, dst FROM closed",
+    "q_temporal_closure_both": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
     "q_temporal_conflicts": f"WITH RECURSIVE {ONTOLOGY} SELECT DISTINCT a.src, a.dst FROM closed a JOIN closed b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst",
     "q_role_violations": """SELECT id, array_to_string(list_sort(list_intersect(list_distinct(allowed_roles), ['Agent', 'Experiencer', 'Recipient'])), ',') AS violations FROM (SELECT * FROM ontology_entry WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC NULLS LAST, ingested_at DESC NULLS LAST) = 1)
       WHERE features.animacy = 'Inanimate' AND list_has_any(allowed_roles, ['Agent', 'Experiencer', 'Recipient'])""",

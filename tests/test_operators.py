@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lorekiln.operators import claims as C
 from lorekiln.operators import evaluate as E
 from lorekiln.operators import frames as P
@@ -116,3 +117,10 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
         spark.createDataFrame([(1, "en", "same"), (k, "en", f"own {k}")], schema).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(document_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["own 1", "own 2", "same"]
+
+
+def test_temporal_closure_of_both_relations(spark, tmp_path):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "b")]
+    spark.createDataFrame([(i, p, 1, None) for i, p in rows], "id string, parent string, revision int, ingested_at timestamp").write.parquet(str(tmp_path / "ontology_entry.parquet"))
+    got = {tuple(r) for r in queries()["q_temporal_closure_both"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"), ("b", "d"), ("a", "d"), ("c", "b"), ("c", "d")}  # b and d are After links
