@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.session import store
 from lorekiln.sources.tables import current_rows
 
 PLAIN_TEXT = {"text"}
 NODES = (
     "event_id bigint, run_id string, stage string, node_id int, parent_id int, label string, ordinal int, kind string, "
-    "scalar string, path string, entity string, is_element boolean, owner_path string"
+    "scalar string, path string, entity string, is_element boolean, owner_path string, owner_id int, field string"
 )
 #: Fields seen both as an array and bare, at most so many; real schemas have far fewer.
 MOST_FIELDS = 1_000_000
+#: Columns of the table of all entities; more are data, not a schema, and are refused.
+MOST_COLUMNS = 5_000
 
 
 def read_json(text: str | None) -> Any:
@@ -126,13 +129,18 @@ def _scalar(value: Any) -> tuple[str, str | None]:
     return "string", value
 
 
+def _below(field: str | None, name: str) -> str:
+    name = name.replace("\\", "\\\\").replace(".", "\\.")
+    return name if field is None else f"{field}.{name}"
+
+
 def _nodes(value: Any, bare: set[tuple[str, str]], scalars: bool) -> Iterator[tuple]:
     """Rows of one payload, in document order; node 0 is the payload itself."""
     count = 0
-    # value, parent node, label, ordinal, path, label of the field around, owner's path, entity (labels only)
-    stack: list[tuple] = [(value, None, "", None, "$", "", "$", "$")]
+    # value, parent node, label, ordinal, path, label of the field around, owner's path, entity (labels only), owner's node, field below the owner
+    stack: list[tuple] = [(value, None, "", None, "$", "", "$", "$", 0, None)]
     while stack:
-        value, parent, label, ordinal, path, around, owner, entity = stack.pop()
+        value, parent, label, ordinal, path, around, owner, entity, owner_id, field = stack.pop()
         if ordinal is None:
             value = unwrap(value, label)
             if isinstance(value, dict) and (around, label) in bare:
@@ -142,15 +150,15 @@ def _nodes(value: Any, bare: set[tuple[str, str]], scalars: bool) -> Iterator[tu
         node, count = count, count + 1
         if isinstance(value, dict):
             element = ordinal is not None
-            yield node, parent, label, ordinal, "object", None, path, entity, element, owner
-            mine = path if element else owner
-            stack += [(v, node, k, None, f"{path}.{k}", label, mine, f"{entity}.{k}") for k, v in reversed(value.items())]
+            yield node, parent, label, ordinal, "object", None, path, entity, element, owner, owner_id, field
+            mine, mine_id, inside = (path, node, None) if element else (owner, owner_id, field)
+            stack += [(v, node, k, None, f"{path}.{k}", label, mine, f"{entity}.{k}", mine_id, _below(inside, k)) for k, v in reversed(value.items())]
         elif isinstance(value, list):
-            yield node, parent, label, ordinal, "array", None, path, entity, False, owner
-            stack += [(v, node, label, i, f"{path}[{i}]", around, owner, f"{entity}[]") for i, v in reversed(list(enumerate(value)))]
+            yield node, parent, label, ordinal, "array", None, path, entity, False, owner, owner_id, field
+            stack += [(v, node, label, i, f"{path}[{i}]", around, owner, f"{entity}[]", owner_id, f"{field or ''}[]") for i, v in reversed(list(enumerate(value)))]
         elif scalars:
             kind, text = _scalar(value)
-            yield node, parent, label, ordinal, kind, text, path, entity, False, owner
+            yield node, parent, label, ordinal, kind, text, path, entity, False, owner, owner_id, field
 
 
 def shred(events: DataFrame, scalars: bool = True) -> DataFrame:
@@ -160,13 +168,15 @@ def shred(events: DataFrame, scalars: bool = True) -> DataFrame:
     label, ordinal (position in an array, else null), kind (object, array,
     string, number, boolean, null), scalar; path (``$.name[i]``), entity (the
     path without positions), is_element (an object that is an array element)
-    and owner_path (the nearest object around it that is one, else ``$``).
+    and owner_path (the nearest object around it that is one, else ``$``) with
+    its node owner_id; field (the names below that owner, joined with ``.``;
+    ``[]`` behind those of arrays, ``.`` and ``\\`` in a name escaped).
     Payloads that are null, blank or don't parse give no rows; null run ids and
     stages stay null. ``scalars=False`` leaves the scalar rows out.
     """
     latest = current_events(events)
     shared = latest.sparkSession.sparkContext.broadcast(bare_fields(events))
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
     names = [c.split()[0] for c in NODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,3 +217,53 @@ def entity_table(nodes: DataFrame, label: str, columns: list[str]) -> DataFrame:
     children = nodes.where(F.col("label").isin(columns) & F.col("scalar").isNotNull() & F.col("ordinal").isNull()).select("event_id", F.col("parent_id").alias("node_id"), "label", "scalar")
     flat = children.groupBy("event_id", "node_id").agg(*[F.max(F.when(F.col("label") == c, F.col("scalar"))).alias(c) for c in columns])
     return objects.join(flat, ["event_id", "node_id"], "left").drop("node_id")
+
+
+def _column_names(fields: list[str], taken: set[str]) -> dict[str, str]:
+    """A column for each field; names that another column has, but for case, get a number."""
+    out, taken = {}, {t.lower() for t in taken}
+    for field in fields:
+        base = name = field or "(empty)"
+        k = 1
+        while name.lower() in taken:
+            k += 1
+            name = f"{base}#{k}"
+        taken.add(name.lower())
+        out[field] = name
+    return out
+
+
+def entities(nodes: DataFrame) -> DataFrame:
+    """All flat tables in one: each payload and each element object, joined with its scalars and pivoted.
+
+    Columns: event_id, run_id, stage, entity (the field's label, ``$`` for a
+    payload itself), parent_path (null for a payload), child_path, and one
+    string column for each scalar field seen anywhere; values of plain objects
+    have their names in front (``anchor.kind``). Scalars in arrays are rows of
+    scalar_elements(). A payload that is one scalar has it in column ``$``.
+    """
+    links = ["event_id", "run_id", "stage", "entity", "parent_path", "child_path"]
+    head = F.col("is_element") | (F.col("node_id") == 0)
+    scalar = ~F.col("kind").isin("object", "array") & F.col("ordinal").isNull()
+    kept = nodes.where(head | scalar).withColumn("at", F.when(head, F.col("node_id")).otherwise(F.col("owner_id")))
+    root = F.col("node_id") == 0
+    found = kept.groupBy("event_id", "at").agg(
+        F.first("run_id").alias("run_id"),
+        F.first("stage").alias("stage"),
+        F.max(F.when(root, F.lit("$")).when(head, F.col("label"))).alias("entity"),
+        F.max(F.when(head & ~root, F.col("owner_path"))).alias("parent_path"),
+        F.max(F.when(head, F.col("path"))).alias("child_path"),
+        F.map_from_entries(F.collect_list(F.when(scalar, F.struct(F.coalesce("field", F.lit("$")).alias("field"), "scalar")))).alias("fields"),
+    )
+    found = store(found.drop("at"), "entities")  # read twice: names and rows
+    fields = sorted(r[0] for r in found.select(F.explode(F.map_keys("fields")).alias("field")).distinct().take(MOST_COLUMNS + 1))
+    if len(fields) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} scalar fields; these labels are data, not a schema")
+    names = _column_names(fields, set(links))
+    return found.select(*links, *[F.col("fields")[F.lit(f)].alias(n) for f, n in names.items()])
+
+
+def scalar_elements(nodes: DataFrame) -> DataFrame:
+    """The child table of all arrays of scalars: one row per element, linked to the object around it; null elements too."""
+    rows = nodes.where(F.col("ordinal").isNotNull() & ~F.col("kind").isin("object", "array"))
+    return rows.select("event_id", "run_id", "stage", F.col("owner_path").alias("parent_path"), F.col("path").alias("child_path"), "field", "ordinal", F.col("scalar").alias("value"))

@@ -38,8 +38,17 @@ def p5_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return shred.entity_table(shred.shred(table(spark, sf, "trace_event")), "diagnostics", ["code", "severity"])
 
 
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat tables of all entities, payloads included."""
+    return shred.entities(shred.shred(table(spark, sf, "trace_event")))
+
+
+def p5_scalar_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return shred.scalar_elements(shred.shred(table(spark, sf, "trace_event")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_descendants, p3_trees, p5_found, p5_spans, p5_diagnostics)}
+    return {f.__name__: f for f in (p3_found, p3_descendants, p3_trees, p5_found, p5_spans, p5_diagnostics, p5_entities, p5_scalar_elements)}
 
 
 CHAINS = r"""

@@ -56,3 +56,22 @@ def test_round_trip(spark):
         return {"null": None, "boolean": r.scalar == "true"}.get(r.kind, json.loads(r.scalar) if r.kind == "number" else r.scalar)
 
     assert build(below[None][0]) == value
+
+
+def test_all_entities(spark):
+    value = {"Top": 1, "top": None, "stage": "in", "a.b": 2, "a": {"b": 3, "rows": [{"x": 1, "anchor": {"kind": "k"}, "flags": ["p", None, [4]]}]}, "": {"x": 9}}
+    nodes = S.shred(events(spark, [(1, json.dumps(value)), (2, "7"), (3, '["q", {}]')]))
+    rows = {(r.event_id, r.entity, r.parent_path, r.child_path): {k: v for k, v in r.asDict().items() if v is not None and k not in ("event_id", "run_id", "stage", "entity", "parent_path", "child_path")} for r in S.entities(nodes).collect()}
+    assert rows == {
+        (1, "$", None, "$"): {"Top": "1", "stage#2": "in", "a\\.b": "2", "a.b": "3", ".x": "9"},
+        (1, "rows", "$", "$.a.rows[0]"): {"x": "1", "anchor.kind": "k"},
+        (2, "$", None, "$"): {"$": "7"},
+        (3, "$", None, "$"): {},
+        (3, "", "$", "$[1]"): {},
+    }
+    assert {tuple(r)[3:] for r in S.scalar_elements(nodes).collect()} == {
+        ("$.a.rows[0]", "$.a.rows[0].flags[0]", "flags[]", 0, "p"),
+        ("$.a.rows[0]", "$.a.rows[0].flags[1]", "flags[]", 1, None),
+        ("$.a.rows[0]", "$.a.rows[0].flags[2][0]", "flags[][]", 0, "4"),
+        ("$", "$[0]", "[]", 0, "q"),
+    }
