@@ -291,6 +291,13 @@ def q_run_compare(spark, sf):
     return E.compare_runs(base, run)
 
 
+def q_run_compare_customers(spark, sf):
+    """Every customer a case, every order in one of two runs: before 1998 (or undated) and since."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("metric"), F.coalesce(F.year("o_orderdate") >= 1998, F.lit(False)).alias("late"))
+    run = lambda late: rows.where(F.col("late") == late).groupBy("case_id", "metric").agg(F.count("*").cast("double").alias("value"))
+    return E.compare_runs(run(False), run(True))
+
+
 TERMS = [(1, "ferry", False, 5), (2, "lighthouse", False, 100000000), (3, "clock", True, 0), (4, "zzzz", True, 0), (5, "śnieg", False, 1)]
 
 
@@ -449,6 +456,9 @@ SQL = {
     "q_run_compare": """WITH a AS (SELECT o_custkey % 997 AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders GROUP BY ALL), b AS (SELECT o_custkey % 997 + 1 AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 5 > 0 GROUP BY ALL),
       p AS (SELECT case_id, count(a.v) AS x, count(b.v) AS y, coalesce(bool_or(b.v - a.v > 1e-9), false) AS up, coalesce(bool_or(b.v - a.v < -1e-9), false) AS down FROM a FULL JOIN b USING (case_id, metric) GROUP BY case_id)
       SELECT *, outcome IN ('Regressed', 'Missing') AS critical FROM (SELECT case_id, CASE WHEN x = 0 THEN 'Added' WHEN y = 0 THEN 'Missing' WHEN up AND NOT down THEN 'Improved' WHEN down AND NOT up THEN 'Regressed' ELSE 'Unchanged' END AS outcome, up AND down AS mixed FROM p)""",
+    "q_run_compare_customers": """WITH a AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE NOT coalesce(year(o_orderdate) >= 1998, false) GROUP BY ALL), b AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY ALL),
+      p AS (SELECT case_id, count(a.v) AS x, count(b.v) AS y, coalesce(bool_or(b.v - a.v > 1e-9), false) AS up, coalesce(bool_or(b.v - a.v < -1e-9), false) AS down FROM a FULL JOIN b USING (case_id, metric) GROUP BY case_id)
+      SELECT *, outcome IN ('Regressed', 'Missing') AS critical FROM (SELECT case_id, CASE WHEN x = 0 THEN 'Added' WHEN y = 0 THEN 'Missing' WHEN up AND NOT down THEN 'Improved' WHEN down AND NOT up THEN 'Regressed' ELSE 'Unchanged' END AS outcome, up AND down AS mixed FROM p)""",
     "q_glossary_compliance": f"""WITH {TOKENS}, u AS (SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM tokens GROUP BY token), t AS (SELECT * FROM (VALUES {', '.join(f"({a}, '{b}', {c}, {d})" for a, b, c, d in TERMS)}) AS t(term_id, form, forbidden, minimum))
       SELECT term_id, form, forbidden, minimum, coalesce(uses, 0) AS uses, coalesce(documents, 0) AS documents, CASE WHEN forbidden AND coalesce(uses, 0) > 0 THEN 'Forbidden' WHEN NOT forbidden AND coalesce(uses, 0) < minimum THEN 'TooFew' ELSE 'Kept' END AS verdict FROM t LEFT JOIN u ON token = form""",
     "q_invariants": r"""WITH c AS (SELECT unnest([{'k': 'HashMatches', 'v': content_sha256 IS NULL OR sha256(text) = content_sha256}, {'k': 'LengthMatches', 'v': n_chars = length(text)}, {'k': 'HasParagraph', 'v': len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ') <> '')) > 0},

@@ -124,3 +124,10 @@ def test_temporal_closure_of_both_relations(spark, tmp_path):
     spark.createDataFrame([(i, p, 1, None) for i, p in rows], "id string, parent string, revision int, ingested_at timestamp").write.parquet(str(tmp_path / "ontology_entry.parquet"))
     got = {tuple(r) for r in queries()["q_temporal_closure_both"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"), ("b", "d"), ("a", "d"), ("c", "b"), ("c", "d")}  # b and d are After links
+
+
+def test_run_compare_keeps_every_customer(spark, tmp_path):
+    rows = [(5, "1-URGENT", "1997-12-31"), (5, "1-URGENT", "1998-01-01"), (5, "1-URGENT", "1999-01-01"), (10, "2-HIGH", "1993-01-01"), (1002, "2-HIGH", "2001-01-01"), (15, "2-HIGH", None)]
+    spark.createDataFrame(rows, "o_custkey bigint, o_orderpriority string, d string").selectExpr("*", "cast(d AS timestamp) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.case_id: r.outcome for r in queries()["q_run_compare_customers"](spark, str(tmp_path)).collect()}
+    assert got == {5: "Improved", 10: "Missing", 1002: "Added", 15: "Missing"}
