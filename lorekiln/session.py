@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "lorekiln") -> SparkSession:
@@ -60,3 +61,24 @@ def store(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFra
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+#: A key with more than this part of all rows is hot; so there are at most 1 / HOT such keys.
+HOT = 1 / 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, in which each key occurs at most once, however skewed ``left`` is.
+
+    Rows of hot keys (more than HOT of all rows each, so at most 1 / HOT keys)
+    meet their partner by a broadcast of those few rows; the others are
+    shuffled. Null keys meet nothing. ``left`` is read three times, so it
+    should be stored or cheap; ``how`` is ``left`` or ``inner``.
+    """
+    total = left.count()
+    if not total:
+        return left.join(right, keys, how)
+    counts = left.groupBy(*keys).count().where(F.col("count") > max(1.0, total * HOT))
+    hot = store(counts.dropna(subset=keys).select(*keys), "hot-keys")
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))  # at most 1 / HOT rows
+    return left.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
