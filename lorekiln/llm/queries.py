@@ -78,10 +78,19 @@ def p8_cut_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf, "documents"))
 
 
+def p8_cut_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.cut_rules(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_surface_forms, p2_found, p2_units_by_language, p4_found, p4_segments, p6_assignments, p6_usage, p7_found, p7_passages, p8_found, p8_cut_rates]
+    own = [p1_found, p1_surface_forms, p2_found, p2_units_by_language, p4_found, p4_segments, p6_assignments, p6_usage, p7_found, p7_passages, p8_found, p8_cut_rates, p8_cut_rules]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    judged = f"({truncation.duckdb_sql()})"
+    return {
+        "p8_found": f"SELECT DISTINCT doc_id FROM {judged} WHERE rule IS NOT NULL",
+        "p8_cut_rates": truncation.SUMS_SQL.replace("{judged}", judged),
+        "p8_cut_rules": f"SELECT rule, count(*) AS texts FROM {judged} GROUP BY rule",
+    }

@@ -15,6 +15,33 @@ def test_cases(spark):
     assert {r.doc_id for r in T.cut_documents(df).collect()} == {1000, 1001, 1002, 1003, 1007}
     rates = {r.source: (r.documents, r.cut_documents) for r in T.cut_rates(df).collect()}
     assert rates[None] == (7, 5) and rates["s"][1] == 0
+    rules = {r.doc_id: r.rule for r in T.judged(df).collect()}
+    assert rules[1000] == "trigram:word" and rules[1001] == "trigram:sentence" and rules[1004] is None
+    assert 2000 not in {r.doc_id for r in T.judged(df).where("rule IS NOT NULL").collect()}
+
+
+def test_closing_line_is_complete(spark):
+    """A line many texts close with, and that has no terminal, isn't a cut."""
+    rows = [(k, "s", BODY + f"Number {k} stays closed.\n\nCompiled by the reading room", "") for k in range(60)]
+    assert T.cut_documents(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_hot_ending_and_long_token(spark):
+    """A third of all texts cut at one place; a token of many letters; repeated rows count once."""
+    rows = texts(*["The crew opens the old gran"] * 120) + [(3000, "s", "x" * 20_000 + " The crew opens the ol", ""), (3000, "s", "x" * 20_000 + " The crew opens the ol", "")]
+    got = [r.doc_id for r in T.cut_documents(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got) == [*range(1000, 1120), 3000]
+
+
+def test_same_in_duckdb(spark):
+    import duckdb
+
+    rows = texts("The crew opens the old gran", "The crew opens the", "The crew opens [...]", "Nobody in the", None) + [(5, "s", "ไม่มีใคร อธิบาย", ""), (6, "s", "会議のあとで破れた地図", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    documents = df.toPandas()  # noqa: F841 - DuckDB reads it by name
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(con.execute(T.duckdb_sql()).fetchall(), key=str) == sorted((tuple(r) for r in T.judged(df).collect()), key=str)
 
 
 def test_empty(spark):
