@@ -1,8 +1,11 @@
+import random
+import time
+
 import pytest
 
 from lorekiln.llm import langid, sentences as S
 
-STATS = S.Statistics({("en", "dr"): False, ("en", "etc"): True, ("en", "no"): False, ("en", "p.m"): True}, {("en", "the"), ("en", "in")}, {("en", "band")})
+STATS = S.Statistics({("en", "dr"): False, ("en", "etc"): True, ("en", "no"): False, ("en", "p.m"): True}, {("en", "the"), ("en", "in")}, {("en", S.NUMBER, "band")}, {("en", "etc", 2)})
 
 
 def cut(text, lang="en"):
@@ -18,6 +21,7 @@ def cut(text, lang="en"):
         ("A b. C d! E f?! G", ["A b.", "C d!", "E f?!", "G"]),
         ("Dr. Lee came. The end.", ["Dr. Lee came.", "The end."]),
         ("We sell ropes, lamps, etc. Lee left.", ["We sell ropes, lamps, etc.", "Lee left."]),
+        ("And etc. Lee left. The end.", ["And etc. Lee left.", "The end."]),
         ("J. R. Lee signed v2.3 of file_1.txt today.", ["J. R. Lee signed v2.3 of file_1.txt today."]),
         ("He left at 7 p.m. In the meantime", ["He left at 7 p.m.", "In the meantime"]),
         ('"Where is it?" asked Lee. Then', ['"Where is it?" asked Lee.', "Then"]),
@@ -47,10 +51,39 @@ def test_spans_cover_the_text(spark):
     assert [rows[0][1].encode()[a:b].decode() for *_, a, b in one] == ["Żółw.", "A", "B."]
 
 
+def learnt(spark, text, copies=30):
+    model = langid.build({"en": {w: 5 for w in text.lower().split()}})
+    return S.learn(S.summed(S.read_once(spark.createDataFrame([(k, text) for k in range(copies)], "doc_id bigint, text string"), model)))
+
+
 def test_learns_abbreviations(spark):
     text = "The crew saw Dr. Lee at the mill. It was old! Then Dr. Moss left the mill? Yes, the old mill burned down. " * 3
-    model = langid.build({"en": {w: 5 for w in text.lower().split()}})
-    counts = S.count_words(spark.createDataFrame([(text,)] * 30, "text string"), model)
-    found = S.learn(counts)
+    found = learnt(spark, text)
     assert found.abbreviations["en", "dr"] is False and ("en", "mill") not in found.abbreviations
     assert found.abbreviations.get(("en", "down"), True)  # it only ever closes paragraphs, so it ends units either way
+
+
+def test_same_abbreviations_at_any_size(spark):
+    """A rare slip (an abbreviation without its period) doesn't weigh more in a larger input."""
+    text = "They saw Prof. Lee at the mill. Nobody asked Prof. Moss about the crew! " * 60 + "Then prof Lee left."
+    small, large = learnt(spark, text, 120), learnt(spark, text, 1200)
+    assert ("en", "prof") in small.abbreviations and small.abbreviations == large.abbreviations
+
+
+def test_learns_collocations_and_places(spark):
+    random.seed(3)
+    kinds = ["On the 3. May they left the mill.", "Winter 1846 r. Lee saw the old mill.", "The crew went to the market in 1846 r.", "Moss saw number 7.", "Lee went home with Moss.", "Nobody saw the market."]
+    rows = [" ".join(random.choice(kinds) for _ in range(6)) for _ in range(400)]
+    found = learnt(spark, "\n\n".join(rows), 1)
+    assert {c for c in found.collocations if c[1] == S.NUMBER} == {("en", S.NUMBER, "may")}
+    assert found.abbreviations["en", "r"] is True and ("en", "r", 3) in found.inner and ("en", "r", S.PLACES) not in found.inner
+
+
+@pytest.mark.parametrize("text", ["a. b " * 200_000, "x" * 1_000_000, "Mr. Lee, \"no. 4\" and, " * 45_000, "(((. " * 200_000, ". " * 500_000, "\"" * 1_000_000])
+def test_linear_in_length(text):
+    """A single unit of a megabyte takes about a second, not minutes."""
+    begun = time.time()
+    parts = S.paragraphs(text)
+    S.units(text, ["en"] * len(parts), STATS, parts)
+    S.count_paragraphs([text], {})
+    assert time.time() - begun < 8
