@@ -7,7 +7,7 @@ new UTF-8 buffer. No step calls a string function per row.
 
 What is unified: character width, composed or combining accents, ligatures,
 invisible characters, kinds of space and hyphen, and look-alike letters of
-Cyrillic and Greek (brought to their Latin twin). What stays different: case,
+Cyrillic, Greek, Armenian, Cherokee and Coptic (brought to their Latin twin). What stays different: case,
 accents, raised or lowered digits, font variants, any other spelling.
 """
 
@@ -31,7 +31,13 @@ LOOK_ALIKES = {
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
+    "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "Ӏ": "I", "ӏ": "l", "Ү": "Y", "Ѵ": "V", "ѵ": "v", "Ꙅ": "S", "ꙅ": "s",
+    "Օ": "O", "օ": "o", "Ս": "U", "ս": "u", "Տ": "S", "Լ": "L", "հ": "h", "ո": "n", "ց": "g", "յ": "j",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
+    "ɡ": "g",
 }
 # Kinds of hyphen, and invisible characters outside category Cf.
 HYPHENS = "‐‑‒−﹣－⁃˗"
@@ -49,6 +55,9 @@ class Tables(NamedTuple):
     klass: np.ndarray  # canonical combining class
     pair_keys: np.ndarray  # sorted (first << 21 | second)
     pair_values: np.ndarray
+    changes: np.ndarray  # code points that don't stay as they are when alone
+    joins: np.ndarray  # code points that begin with a mark
+    second: np.ndarray  # code points that aren't marks, but second in a composition
 
 
 def _pairs() -> dict[tuple[int, int], int]:
@@ -69,9 +78,9 @@ def _pairs() -> dict[tuple[int, int], int]:
     return pairs
 
 
-@lru_cache(maxsize=2)
-def tables(visual: bool = True) -> Tables:
-    """``visual=False`` gives plain canonical composition, which tests compare with NFC."""
+@lru_cache(maxsize=3)
+def tables(visual: bool = True, alike: bool = True) -> Tables:
+    """``visual=False`` gives plain canonical composition, which tests compare with NFC; ``alike=False`` leaves every letter in its script."""
     expand: dict[int, list[int]] = {}
     for cp in range(0xA0, sys.maxunicode + 1):
         parts = unicodedata.decomposition(chr(cp))
@@ -86,7 +95,7 @@ def tables(visual: bool = True) -> Tables:
             elif tag in WIDTH_TAGS or tag == "<compat>" and "LIGATURE" in unicodedata.name(chr(cp), ""):
                 expand[cp] = [ord(x) for x in unicodedata.normalize("NFKD", chr(cp))]
     if visual:
-        twin = {ord(a): ord(b) for a, b in LOOK_ALIKES.items()}
+        twin = {ord(a): ord(b) for a, b in LOOK_ALIKES.items()} if alike else {}
         hidden = {*map(ord, INVISIBLE), *VARIATION_SELECTORS}
         for cp in range(0xA0, sys.maxunicode + 1):
             kind = unicodedata.category(chr(cp))
@@ -109,7 +118,13 @@ def tables(visual: bool = True) -> Tables:
         klass[cp] = unicodedata.combining(chr(cp))
     pairs = sorted(((a << 21) | b, to) for (a, b), to in _pairs().items())
     keys, values = zip(*pairs)
-    return Tables(start, length, np.concatenate(pool), klass, np.array(keys, np.int64), np.array(values, np.uint32))
+    changes, joins, second = klass > 0, klass > 0, np.zeros(TOP, bool)
+    for cp, to in expand.items():
+        changes[cp] |= unicodedata.normalize("NFC", "".join(map(chr, to))) != chr(cp)
+        joins[cp] |= bool(to) and klass[to[0]] > 0
+    second[np.array(keys, np.int64) & 0x1FFFFF] = True
+    second &= klass == 0
+    return Tables(start, length, np.concatenate(pool), klass, np.array(keys, np.int64), np.array(values, np.uint32), changes, joins, second)
 
 
 def compose_pairs(t: Tables, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -162,17 +177,27 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = PORTIO
             at = to
 
 
-def unify_codes(codes: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
-    """Expand, order the marks and compose; rows never merge across ``bounds``."""
-    n_rows = len(bounds) - 1
-    count = t.length[codes]
+def _expand(codes: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """The expansions of all code points that change or stand before a mark; the others stay."""
+    marked = t.joins[codes]
+    touched = t.changes[codes] | marked
+    touched[:-1] |= marked[1:]
+    at = np.flatnonzero(touched)
+    if not len(at):
+        return codes.copy(), bounds
+    grown = t.length[codes[at]]
+    count = np.ones(len(codes), np.int64)
+    count[at] = grown
     ends = np.concatenate(([0], np.cumsum(count)))
-    bounds = ends[bounds]
-    within = np.arange(ends[-1]) - np.repeat(ends[:-1], count)
-    out = t.pool[np.repeat(t.start[codes], count) + within]
-    if len(out) == 0:
-        return out, bounds
-    klass = t.klass[out]
+    out = np.empty(ends[-1], codes.dtype)
+    out[ends[:-1][~touched]] = codes[~touched]
+    within = np.arange(grown.sum()) - np.repeat(np.cumsum(grown) - grown, grown)
+    out[np.repeat(ends[at], grown) + within] = t.pool[np.repeat(t.start[codes[at]], grown) + within]
+    return out, ends[bounds]
+
+
+def _compose_marks(out: np.ndarray, klass: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Order the marks behind each base and compose them with it, the k-th mark of every run at once."""
     row_start = np.zeros(len(out) + 1, bool)
     row_start[bounds[:-1]] = True
     row_start = row_start[:-1]
@@ -181,39 +206,52 @@ def unify_codes(codes: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.nd
     if np.any((klass[1:] > 0) & (klass[:-1] > klass[1:]) & ~row_start[1:]):
         order = np.lexsort((klass, run))  # stable: equal classes keep their order
         out, klass = out[order], klass[order]
-    row = np.repeat(np.arange(n_rows), np.diff(bounds))
-    heads = np.flatnonzero(head)
+    heads, marks = np.flatnonzero(head), np.flatnonzero(~head)
     alive = np.ones(len(out), bool)
-    marks = np.flatnonzero(~head)
-    if len(marks):  # the k-th mark of every run at once
-        base, nth = heads[run[marks]], marks - heads[run[marks]]
-        usable = klass[base] == 0
-        marks, base, nth = marks[usable], base[usable], nth[usable]
-        last = np.zeros(len(out), np.uint8)  # class of the last mark that stayed, by base
-        k = 1
-        while len(marks):
-            here = nth == k
-            m, b = marks[here], base[here]
-            made = compose_pairs(t, out[b], out[m])
-            ok = (made > 0) & (last[b] < klass[m])
-            out[b[ok]] = made[ok]
-            alive[m[ok]] = False
-            last[b[~ok]] = klass[m[~ok]]
-            marks, base, nth = marks[~here], base[~here], nth[~here]
-            k += 1
-    while True:  # bases that compose with the next base (Hangul, some Indic vowels)
-        left = np.flatnonzero(alive)
-        a, b = left[:-1], left[1:]
-        near = (klass[a] == 0) & (klass[b] == 0) & (row[a] == row[b])
+    base, nth = heads[run[marks]], marks - heads[run[marks]]
+    usable = klass[base] == 0
+    marks, base, nth = marks[usable], base[usable], nth[usable]
+    last = np.zeros(len(out), np.uint8)  # class of the last mark that stayed, by base
+    k = 1
+    while len(marks):
+        here = nth == k
+        m, b = marks[here], base[here]
+        made = compose_pairs(t, out[b], out[m])
+        ok = (made > 0) & (last[b] < klass[m])
+        out[b[ok]] = made[ok]
+        alive[m[ok]] = False
+        last[b[~ok]] = klass[m[~ok]]
+        marks, base, nth = marks[~here], base[~here], nth[~here]
+        k += 1
+    kept = np.concatenate(([0], np.cumsum(alive)))
+    return out[alive], kept[bounds]
+
+
+def unify_codes(codes: np.ndarray, bounds: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Expand, order the marks and compose; rows never merge across ``bounds``."""
+    out, bounds = _expand(codes, bounds, t)
+    if not len(out):
+        return out, bounds
+    while True:
+        klass = t.klass[out]
+        if klass.any():
+            out, bounds = _compose_marks(out, klass, bounds, t)
+        # bases that compose with the next base (Hangul, some Indic vowels), and then perhaps with its marks
+        b = np.flatnonzero(t.second[out])
+        b = b[b > 0]
+        a = b - 1
+        row = np.searchsorted(bounds, b, side="right")
+        near = (t.klass[out[a]] == 0) & (row == np.searchsorted(bounds, a, side="right"))
         made = np.where(near, compose_pairs(t, out[a], out[b]), 0)
         hit = made > 0
-        hit[1:] &= ~(hit[:-1])
+        hit[1:] &= ~(hit[:-1] & (b[:-1] == a[1:]))
         if not hit.any():
-            break
+            return out, bounds
+        alive = np.ones(len(out), bool)
         out[a[hit]] = made[hit]
         alive[b[hit]] = False
-    kept = np.concatenate(([0], np.cumsum(alive)))
-    return out[alive], kept[bounds]
+        kept = np.concatenate(([0], np.cumsum(alive)))
+        out, bounds = out[alive], kept[bounds]
 
 
 def unify_array(strings: pa.Array, visual: bool = True) -> pa.Array:

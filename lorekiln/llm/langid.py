@@ -9,7 +9,13 @@ change costs SWITCH.
 The model is fitted on the labels the rows came with, counted over all rows:
 which labels are languages of their own is decided from the words (see
 own_languages), so a wrong label that only ever stands on texts of another
-language founds none.
+language founds none. Most of those are rejected on the cluster: labels with
+fewer than FOUNDS words, and labels outside the table of languages whose words
+the languages in it explain. What comes to the driver is at most 1 / SHARE
+words of each label that is left.
+
+Letters keep their script here (a Cyrillic word stays Cyrillic); width,
+composition and invisible characters don't count.
 """
 
 from __future__ import annotations
@@ -22,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.session import store
+
 from . import words as W
 from .codepoints import portions
 
 #: A word enters the model if it makes up this share of its label's words; so a label has at most 1 / SHARE words.
 SHARE = 5e-6
+#: A label founds a language only with so many words.
+FOUNDS = 200
 #: Cost of changing the language between two sentences, in nats.
 SWITCH = 9.0
 #: Share of a label's words that other, larger labels may explain before it counts as none of its own.
@@ -36,7 +46,7 @@ EDGE = np.uint32(0x2)  # stands for the blank before and after a word
 
 # ISO 639-1 code, then its 639-2 codes and names as labels write them.
 LANGUAGES = """
-pl pol polski polish polnisch język polski
+pl pol polski polish polnisch
 en eng english englisch angielski
 de deu ger german deutsch niemiecki
 cs ces cze czech čeština cestina český czeski
@@ -75,14 +85,16 @@ PLACEHOLDERS = ["", "-", "--", "?", "xx", "xxx", "zz", "und", "unk", "unknown",
 def normal_label(column: Column) -> Column:
     """ISO 639-1 code of a label in any usual spelling; null where it says nothing.
 
-    Case, blanks and region parts (``en_GB``, ``pl-PL``) don't matter. A label
-    of another kind stays as it is, in lower case: it is a label, only not of a
-    known language.
+    Case, blanks, region parts (``en_GB``, ``pl-PL``) and a leading ``język``
+    or ``language`` don't matter. Another code of two or three letters stays, in
+    lower case: it is a label, only not of a language in the table. Other text
+    names no language and gives null.
     """
-    text = F.lower(F.trim(F.regexp_replace(column, r"[\s ]+", " ")))
+    text = F.lower(F.trim(F.regexp_replace(column, r"[\s\u00a0]+", " ")))
+    text = F.regexp_replace(text, r"^(?:język|language|lang|jazyk|sprache)[ :=]+", "")
     short = F.regexp_replace(text, r"[-_ ].*$", "")
     named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    code = F.coalesce(F.try_element_at(named, text), F.try_element_at(named, short), short)
+    code = F.coalesce(F.try_element_at(named, text), F.try_element_at(named, short), F.when(short.rlike("^[a-z]{2,3}$"), short))
     return F.when(column.isNull() | text.isin(PLACEHOLDERS) | short.isin(PLACEHOLDERS), None).otherwise(code)
 
 
@@ -94,14 +106,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in portions(batches, 1):
             labels = batch.column(0).to_pylist()
             names, label_of = np.unique(np.array(labels, dtype=object).astype(str), return_inverse=True)
-            codes, bounds = W.unified(batch.column(1))
+            codes, bounds = W.unified(batch.column(1), alike=False)
             codes = lower[codes]
             start, end, row = W.spans(codes, bounds)
             if not len(start):
                 continue
-            key = W.keys(codes, start, end)
-            both = np.stack([label_of[row].astype(np.uint64), key])
-            _, first, n = np.unique(both, axis=1, return_index=True, return_counts=True)
+            with np.errstate(over="ignore"):
+                key = W.keys(codes, start, end) + (label_of[row].astype(np.uint64) + np.uint64(1)) * W.P
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[label_of[row[first]]].tolist(), pa.string()), pa.array(W.texts_of(codes, start[first], end[first]), pa.string()), pa.array(n, pa.int64())],
                 names=["label", "word", "n"],
@@ -127,28 +139,32 @@ class Model(NamedTuple):
         return np.where(table[at] == key, at, -1)
 
     def score(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log scores of every word (lower case), a column per language, centred on the best."""
+        """Log scores of every word (lower case), a column per language, centred on the best; each distinct word is scored once."""
+        key, first, back = np.unique(W.keys(codes, start, end), return_index=True, return_inverse=True)
+        start, end = start[first], end[first]
         out = np.zeros((len(start), len(self.languages)), np.float32)
-        at = self.look_up(self.words, W.keys(codes, start, end))
+        at = self.look_up(self.words, key)
         out[at >= 0] = self.word_scores[at[at >= 0]]
         left = np.flatnonzero(at < 0)
-        left = left[~np.isin(codes[start[left]], DIGITS)]
+        left = left[~is_digit(codes[start[left]])]
         for order in ORDERS:
             if not len(left):
                 break
             padded, begin, of = pad(codes, start[left], end[left], order)
             found = self.look_up(self.grams[order], W.keys(padded, begin, begin + order))
-            hit = found >= 0
-            n = np.bincount(of[hit], minlength=len(left))
-            total = np.zeros((len(left), len(self.languages)), np.float64)
-            np.add.at(total, of[hit], self.gram_scores[order][found[hit]])
-            done = n > 0
-            out[left[done]] = total[done] / n[done, None]
-            left = left[~done]
-        return out - out.max(axis=1, keepdims=True) if len(out) else out
+            of, found = of[found >= 0], found[found >= 0]
+            if not len(of):
+                continue
+            head = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            n = np.diff(np.append(head, len(of)))
+            out[left[of[head]]] = np.add.reduceat(self.gram_scores[order][found], head, axis=0, dtype=np.float64) / n[:, None]
+            left = np.delete(left, of[head])
+        out -= out.max(axis=1, keepdims=True) if len(out) else 0
+        return out[back]
 
 
-DIGITS = np.arange(0x30, 0x3A, dtype=np.uint32)
+def is_digit(codes: np.ndarray) -> np.ndarray:
+    return (codes >= 0x30) & (codes < 0x3A)
 
 
 def pad(codes: np.ndarray, start: np.ndarray, end: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,14 +238,19 @@ def logs(n: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame) -> Model:
-    """Fit a model on (label, text); see the module text. The collected words are bounded by SHARE."""
-    from lorekiln.session import cut
-
-    counts = cut(word_counts(texts))
-    totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "label").where(F.col("n") >= F.col("total") * SHARE)
+    """Fit a model on (label, text); see the module text for what comes to the driver."""
+    counts = store(word_counts(texts), "language-words")
+    totals = counts.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") >= FOUNDS)
+    kept = store(counts.join(totals, "label").where(F.col("n") >= F.col("total") * SHARE), "kept-words")
+    named = F.col("label").isin(sorted(set(NAMES.values())))
+    share = F.col("n") / F.col("total")
+    best = kept.where(named).groupBy("word").agg(F.max(share).alias("best"))
+    unnamed = kept.where(~named).join(best, "word", "left").groupBy("label").agg(
+        F.sum(F.when(F.col("best") >= 0.1 * share, F.col("n")).otherwise(0)).alias("known"), F.sum("n").alias("all")
+    )
+    new = unnamed.where(F.col("known") < EXPLAINED * F.col("all")).select("label")
     by_label: dict[str, dict[str, int]] = {}
-    for r in kept.select("label", "word", "n").toLocalIterator():
+    for r in kept.where(named).unionByName(kept.where(~named).join(new, "label", "left_semi")).select("label", "word", "n").toLocalIterator():
         by_label.setdefault(r[0], {})[r[1]] = r[2]
     return build(by_label)
 
@@ -260,9 +281,6 @@ def chunk_starts(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def best_path(scores: np.ndarray) -> np.ndarray:
     """Most likely language of each chunk, a change costing SWITCH."""
-    best = scores.argmax(axis=1)
-    if (best == best[0]).all():
-        return best
     n, k = scores.shape
     total, back = scores[0].astype(np.float64), np.zeros((n, k), np.int64)
     for i in range(1, n):
@@ -283,12 +301,12 @@ def segments_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple
     The confidence is the share of the best language in the exponential of the
     mean word scores.
     """
-    codes, bounds = W.unified(texts)
+    codes, bounds = W.unified(texts, alike=False)
     begins = chunk_starts(codes, bounds)
     codes = W.classes()[1][codes]
     start, end, row = W.spans(codes, bounds)
     kind = W.classes()[0][codes[start]]
-    digit = np.isin(codes[start], DIGITS)
+    digit = is_digit(codes[start])
     if not len(start) or not model.languages:
         return
     scores = model.score(codes, start, end)
@@ -298,19 +316,28 @@ def segments_of(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[tuple
     sums = np.add.reduceat(scores, head, axis=0)
     counted = np.add.reduceat((~digit).astype(np.int64), head)
     rows = row[head]
-    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))), [len(rows)]))
+    edges = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     stop = np.concatenate((head[1:], [len(start)]))
-    for a, b in zip(edges[:-1], edges[1:]):
-        if not counted[a:b].any():
+    last = np.append(edges[1:], len(rows))
+    best = sums.argmax(axis=1)
+    words = np.add.reduceat(counted, edges)
+    whole, alone = np.add.reduceat(sums, edges, axis=0), np.minimum.reduceat(best, edges) == np.maximum.reduceat(best, edges)
+
+    def sure(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        mean = total / np.maximum(1, n)[:, None]
+        return 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+
+    confidence, names = sure(whole, words).tolist(), model.languages
+    for k in np.flatnonzero(words > 0).tolist():
+        a, b = int(edges[k]), int(last[k])
+        if alone[k]:
+            yield int(rows[a]), [(names[best[a]], confidence[k], 0, int(stop[b - 1] - head[a]))]
             continue
         path = best_path(sums[a:b])
-        cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1, [b - a]))
-        found = []
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            mean = sums[a + x : a + y].sum(axis=0) / max(1, counted[a + x : a + y].sum())
-            share = np.exp(mean - mean.max())
-            found.append((model.languages[path[x]], float(1 / share.sum()), int(head[a + x] - head[a]), int(stop[a + y - 1] - head[a])))
-        yield int(rows[a]), found
+        cuts = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1))
+        shares = sure(np.add.reduceat(sums[a:b], cuts, axis=0), np.add.reduceat(counted[a:b], cuts))
+        ends = np.append(cuts[1:], b - a)
+        yield int(rows[a]), [(names[path[x]], float(c), int(head[a + x] - head[a]), int(stop[a + y - 1] - head[a])) for x, y, c in zip(cuts, ends, shares)]
 
 
 def segments(texts: DataFrame, model: Model) -> DataFrame:

@@ -45,10 +45,10 @@ def classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, lower, bare
 
 
-def unified(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts in their consistent form, with the rows' bounds."""
+def unified(texts: pa.Array, alike: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in their consistent form (letters in their own script if not ``alike``), with the rows' bounds."""
     codes, bounds = widen(texts)
-    return unify_codes(codes, bounds, tables(True))
+    return unify_codes(codes, bounds, tables(True, alike))
 
 
 def spans(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,12 +69,22 @@ def spans(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.minimum(end, bounds[np.minimum(row + 1, len(bounds) - 1)]), row
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of P and of its inverse up to the n-th, kept between batches."""
+    if len(_POWERS[0]) <= n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n + n // 4, x, np.uint64))), dtype=np.uint64) for x in (P, P_INVERSE)]
+    return _POWERS[0], _POWERS[1]
+
+
 def keys(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit key of each code-point range: a polynomial by prefix sums, modulo 2^64, then mixed."""
+    power, back = powers(len(codes))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(codes), P, np.uint64))), dtype=np.uint64)
-        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(codes), P_INVERSE, np.uint64))), dtype=np.uint64)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+        total = np.concatenate(([np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], dtype=np.uint64)))
         key = (total[end] - total[start]) * back[start]
         key ^= key >> np.uint64(29)
         key *= np.uint64(0xBF58476D1CE4E5B9)

@@ -48,3 +48,21 @@ def test_empty_table(spark):
     assert model.languages == []
     df = spark.createDataFrame([("turn", 1, "en", "Text.")], "record_kind string, record_id bigint, label string, text string")
     assert langid.segments(df, model).count() == 0
+
+
+def test_junk_labels_stay_on_the_cluster(spark):
+    """Ten thousand labels that name no language of their own found none, and none of their words is kept."""
+    junk = ["".join(c) for c in __import__("itertools").product("bcdfghjkmn", repeat=4)]
+    texts = [(label, s) for label, s in zip(junk, lines(EN, 10_000, 8))]
+    big = [("xq", " ".join(lines(EN, 60, 8))), ("xz", " ".join(lines(PL, 60, 8)))]
+    df = spark.createDataFrame(rows() + texts + big, "raw string, text string").select(langid.normal_label(F.col("raw")).alias("label"), "text")
+    assert sorted(langid.fit(df).languages) == ["de", "en", "pl"]
+
+
+def test_own_script_counts(spark):
+    """A Cyrillic word isn't taken for a Latin one of the same look."""
+    ru = "сор в поле у реки а там не растёт ничего кроме старой травы и камней"
+    data = rows() + [("ru", s) for s in lines(ru, 60, 8)]
+    model = langid.fit(spark.createDataFrame(data, "label string, text string"))
+    got = {r: s[0][0] for r, s in langid.segments_of(__import__("pyarrow").array(["Сор у реки.", "The old mill."]), model)}
+    assert got == {0: "ru", 1: "en"}

@@ -27,7 +27,7 @@ def test_round_trip(texts):
 
 @pytest.mark.parametrize(
     "text, to",
-    [("Ｂａｄ　Ｘ", "Bad X"), ("Теѕ́kа", "Teśka"), ("z​o⁠e﻿\xad", "zoe"), ("a\xa0b c", "a b c"), ("No‐1‑2", "No-1-2"), ("Tarnﬁ", "Tarnfi"), ("x²", "x²"), ("H₂", "H₂"), ("A", "A"), ("é", "é"), ("", ""), (None, None), ("‍", ""), ("́a", "́a")],
+    [("Ｂａｄ　Ｘ", "Bad X"), ("Теѕ́kа", "Teśka"), ("z​o⁠e﻿\xad", "zoe"), ("a\xa0b c", "a b c"), ("No‐1‑2", "No-1-2"), ("Tarnﬁ", "Tarnfi"), ("x²", "x²"), ("H₂", "H₂"), ("A", "A"), ("é", "é"), ("", ""), (None, None), ("‍", ""), ("́a", "́a"), ("Օɡ", "Og"), ("ᏚᎡ", "ᏚR"), ("ӏ", "l")],
 )
 def test_visual_forms(text, to):
     assert unify_array(pa.array(["q", text, "q"], pa.string())).to_pylist()[1] == to
@@ -50,3 +50,15 @@ def test_matches(spark):
     assert unify.surface_matches(mentions.limit(0), names).count() == 0
     with pytest.raises(ValueError):
         unify.with_unified(mentions, {"exact_surface": "mention_id"})
+
+
+def test_letters_can_keep_their_script():
+    from lorekiln.llm.codepoints import tables, unify_codes
+
+    codes, bounds = unify_codes(*widen(pa.array(["ｓор", "e\u0301\xad"])), tables(True, False))
+    assert narrow(codes, bounds).to_pylist() == ["sор", "é"]
+
+
+def test_plain_composition_of_all_code_points():
+    every = [chr(c) + x for c in range(0xA0, 0x3200) if unicodedata.category(chr(c)) != "Cn" for x in ("", "\u0323\u0301", "\u0dca")]
+    assert unify_array(pa.array(every), visual=False).to_pylist() == [unicodedata.normalize("NFC", t) for t in every]
