@@ -1,11 +1,12 @@
 """Problem 7: passages of held-out test items inside training documents.
 
 A distributed positional inverted index holds (term, document, position) of
-every document word that occurs in the test items. For each run of SEED test
-words the rarest one (by its postings) is looked up first; the offset-adjusted
-positions of its neighbours must hold the rest of the run. What survives is an
-exact phrase; it is then extended over replaced and omitted words to the
-asked-for passage.
+every document word that occurs in the test items, with the terms next to it.
+For each run of SEED test words the rarest one (by its postings) is looked up
+first; a neighbour must agree at once. Then the offset-adjusted postings of the
+rest of the run are intersected: what holds all of them is an exact phrase. The
+surviving alignments are intersected with all words of their item, and their
+runs are joined over one replaced or omitted word to the asked-for passage.
 
 A passage counts if at least MIN_WORDS consecutive item words stand in the
 document in order, beginning and ending with a word that does, and among any
@@ -15,6 +16,10 @@ of at least MIN_WORDS words with at most one change: with two changes it has
 16 words or more, and cutting it at its first or last change leaves twelve.
 So one change is what is tested, and since 12 words with one change leave an
 exact run of six, the seeds lose nothing.
+
+Nothing of the documents or items comes to the driver but a filter of BITS bits
+that keeps most other words out of the index; what it lets through is dropped
+by an exact join.
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,184 +36,146 @@ from lorekiln.session import store
 from . import words as W
 from .codepoints import portions
 
-SEED, MIN_WORDS, ONE_IN = 5, 12, 8
-#: Up to so many distinct test words are filtered while the index is built; beyond, the index is joined with them.
-FILTER_WORDS = 2_000_000
-INDEX = "doc_id bigint, position int, term bigint"
+SEED, MIN_WORDS, ONE_IN = 6, 12, 8
+#: Bits of the filter, whatever the number of test words.
+BITS = 1 << 24
+INDEX = "doc_id bigint, position int, term bigint, before bigint, behind bigint"
 
 
-def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 64-bit term of every word, in order; case and visually identical characters don't count."""
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number in its row and 64-bit term of every word; case and visually identical characters don't count."""
     codes, bounds = W.unified(texts)
     codes = W.classes()[1][codes]
     start, end, row = W.spans(codes, bounds)
-    return row, W.keys(codes, start, end).view(np.int64)
-
-
-def _positions(row: np.ndarray) -> np.ndarray:
-    """Number of each word within its row, from 0."""
     if not len(row):
-        return row
+        return row, row, np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    return np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-
+    number = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row, number, W.keys(codes, start, end).view(np.int64)
 
-def item_terms(items: DataFrame) -> pd.DataFrame:
-    """item_id, ipos, term of the stated test items, which are the query set and few."""
-    got = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toPandas()
-    row, term = _terms(pa.array(got.text.tolist(), pa.string()))
-    return pd.DataFrame({"item_id": got.item_id.to_numpy()[row] if len(row) else np.zeros(0, np.int64), "ipos": _positions(row), "term": term})
 
-
-def positional_index(documents: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(doc_id, position, term) of the document words in ``vocabulary``, stored clustered by term.
-
-    Positions count all words of the text, also those that aren't stored.
-    Documents with a null id or text have no postings.
-    """
-    spark = documents.sparkSession
-    few = len(vocabulary) <= FILTER_WORDS
-    wanted = spark.sparkContext.broadcast(np.sort(vocabulary) if few else np.zeros(0, np.int64))
+def item_terms(items: DataFrame) -> DataFrame:
+    """(item_id, ipos, term) of the test items, stored; null ids and texts give no rows, repeated rows count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 1):
-            row, term = _terms(batch.column(1))
-            position = _positions(row)
-            if few:
-                known = wanted.value
-                at = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
-                keep = known[at] == term if len(known) else np.zeros(len(term), bool)
-                row, position, term = row[keep], position[keep], term[keep]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(position, pa.int32()), pa.array(term, pa.int64())], names=["doc_id", "position", "term"]
-            )
-
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    postings = texts.mapInArrow(run, INDEX)
-    if not few:
-        postings = postings.join(spark.createDataFrame(pd.DataFrame({"term": vocabulary})), "term", "left_semi")
-    return store(postings, "postings", ["term", "doc_id", "position"])
+            row, number, term = _terms(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(term, pa.int64())], names=["item_id", "ipos", "term"])
 
+    texts = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    return store(texts.mapInArrow(run, "item_id bigint, ipos int, term bigint").distinct(), "item-terms")
 
-def rarest_seeds(terms: pd.DataFrame, frequency: dict[int, int]) -> pd.DataFrame:
-    """For every run of SEED item words the place of its rarest word (the first among equals).
 
-    Runs with a word that no document has can't match and give no seed.
-    """
-    places = []
-    for item, group in terms.groupby("item_id", sort=True):
-        term = group.term.to_numpy()
-        count = np.array([frequency.get(int(t), 0) for t in term])
-        for i in range(len(term) - SEED + 1):
-            run = count[i : i + SEED]
-            if run.min() > 0:
-                k = i + int(run.argmin())
-                places.append((int(item), k, int(term[k])))
-    return pd.DataFrame(sorted(set(places)), columns=["item_id", "ipos", "term"])
+def _places(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bit positions of each term."""
+    bits = term.view(np.uint64)
+    return (bits % np.uint64(BITS)).astype(np.int64), ((bits >> np.uint64(24)) % np.uint64(BITS)).astype(np.int64)
 
 
-def _aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> np.ndarray:
-    """Which item words stand at their place plus ``shift``."""
-    at = np.arange(len(item)) + shift
-    ok = (at >= 0) & (at < len(doc))
-    return ok & (doc[np.clip(at, 0, len(doc) - 1)] == item)
+def word_filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms as BITS booleans, put together on the cluster from words of 32 bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.unique(np.concatenate(_places(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([pa.array(place >> 5, pa.int64()), pa.array(np.int64(1) << (place & 31), pa.int64())], names=["word", "bits"])
 
-def _runs(match: np.ndarray) -> np.ndarray:
-    """Length of the unbroken run of matches ending at each place."""
-    at = np.arange(1, len(match) + 1)
-    return at - np.maximum.accumulate(np.where(match, 0, at))
+    words = terms.select("term").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 32 rows
+    packed = np.zeros(BITS // 32, np.uint32)
+    packed[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
 
 
-def passages(doc: np.ndarray, item: np.ndarray, shifts: set[int]) -> tuple[int, int, int] | None:
-    """Longest passage of the item in the document with at most one change, if it is long enough.
+def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, position, term, before, behind) of the document words that occur in the items, stored clustered by term.
 
-    Returns (first item word, words, item words in exact runs of SEED or more
-    in any of the alignments), or None.
+    Positions count all words of the text, also those that aren't stored; so do
+    the terms before and behind. Documents with a null id or text have no postings.
     """
-    best, covered = (0, 0), np.zeros(len(item), bool)
-    for shift in sorted(shifts | {s + 1 for s in shifts}):
-        match = _aligned(doc, item, shift)
-        before = _runs(match)
-        long = np.flatnonzero(before >= SEED)
-        for k in range(SEED):
-            covered[long - k] = True
-        end = int(before.argmax())
-        options = [(int(before[end]), end + 1 - int(before[end]))]
-        for later in (match, _aligned(doc, item, shift - 1)):  # one word replaced; one left out
-            after = _runs(later[::-1])[::-1]
-            if len(item) > 2:
-                left, right = before[:-2], after[2:]
-                total = np.where((left > 0) & (right > 0), left + 1 + right, 0)
-                at = int(total.argmax())
-                options.append((int(total[at]), at + 1 - int(left[at])))
-        best = max(best, max(options))
-    return (best[1], best[0], int(covered.sum())) if best[0] >= MIN_WORDS else None
-
-
-class Items:
-    """The words of all test items end to end, with room between them for looking SEED - 1 words to each side."""
-
-    def __init__(self, terms: dict[int, np.ndarray]) -> None:
-        self.terms = terms
-        self.ids = np.array(sorted(terms), np.int64)
-        gap = np.full(SEED - 1, -1, np.int64)
-        parts, at, starts = [gap], len(gap), []
-        for i in self.ids.tolist():
-            starts.append(at)
-            parts += [terms[i], gap]
-            at += len(terms[i]) + len(gap)
-        self.flat, self.starts = np.concatenate(parts), np.array(starts, np.int64)
-
-    def phrases(self, doc: np.ndarray, of: np.ndarray, ipos: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Which look-ups of a rarest word lie in an exact run of SEED words: the offset-adjusted neighbours agree."""
-        reach = np.arange(1, SEED)
-        centre = self.starts[np.searchsorted(self.ids, of)] + ipos
-        padded = np.concatenate((np.zeros(SEED - 1, np.int64), doc, np.zeros(SEED - 1, np.int64)))
-        place = at.astype(np.int64) + SEED - 1
-        side = lambda step: np.cumprod(self.flat[centre[:, None] + step * reach] == padded[place[:, None] + step * reach], axis=1).sum(axis=1)
-        return side(-1) + side(1) + 1 >= SEED
+    wanted = documents.sparkSession.sparkContext.broadcast(word_filter(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 1):
+            row, number, term = _terms(batch.column(1))
+            a, b = _places(term)
+            keep = np.flatnonzero(wanted.value[a] & wanted.value[b])
+            near = [np.where((keep + step >= 0) & (keep + step < len(term)), term[np.clip(keep + step, 0, max(len(term) - 1, 0))], 0) for step in (-1, 1)] if len(term) else [term, term]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[keep])), pa.array(number[keep], pa.int32()), pa.array(term[keep], pa.int64()), *(pa.array(x, pa.int64()) for x in near)],
+                names=["doc_id", "position", "term", "before", "behind"],
+            )
+
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    postings = texts.mapInArrow(run, INDEX).join(terms.select("term").distinct(), "term", "left_semi")
+    return store(postings.select("doc_id", "position", "term", "before", "behind"), "postings", ["term", "doc_id", "position"])
+
+
+SEEDS_SQL = f"""
+WITH counted AS (SELECT term, count(*) AS postings FROM {{index}} GROUP BY term
+), placed AS (
+  SELECT t.*, coalesce(postings, 0) AS postings, lag(t.term) OVER w AS before, lead(t.term) OVER w AS behind FROM {{terms}} t LEFT JOIN counted c ON c.term = t.term
+  WINDOW w AS (PARTITION BY item_id ORDER BY ipos)
+), runs AS (
+  SELECT item_id, min(struct(postings, ipos, term, before, behind)) OVER w AS rarest, count(*) OVER w AS words FROM placed
+  WINDOW w AS (PARTITION BY item_id ORDER BY ipos ROWS BETWEEN CURRENT ROW AND {SEED - 1} FOLLOWING))
+SELECT DISTINCT item_id, rarest.ipos, rarest.term, rarest.before, rarest.behind FROM runs WHERE words = {SEED} AND rarest.postings > 0
+"""
+#: The words around each look-up that may be in one run with it.
+NEIGHBOURS_SQL = f"""
+SELECT n.item_id, n.ipos, n.step, t.term FROM (SELECT item_id, ipos, ipos + step AS at, step FROM {{seeds}} LATERAL VIEW explode(sequence({1 - SEED}, {SEED - 1})) AS step WHERE step <> 0) n
+JOIN {{terms}} t ON t.item_id = n.item_id AND t.ipos = n.at
+"""
+HITS_SQL = """
+SELECT DISTINCT doc_id, item_id, s.ipos, position - s.ipos AS shift FROM {index} i JOIN {seeds} s ON s.term = i.term WHERE i.before = s.before OR i.behind = s.behind
+"""
+RUNS_OF_SEED = " OR ".join(f"bits & {sum(1 << k for k in range(SEED - 1 - j, 2 * SEED - 1 - j) if k != SEED - 1)} = {sum(1 << k for k in range(SEED - 1 - j, 2 * SEED - 1 - j) if k != SEED - 1)}" for j in range(SEED))
+PHRASES_SQL = f"""
+SELECT DISTINCT doc_id, item_id, shift FROM (
+  SELECT doc_id, item_id, shift, ipos, bit_or(shiftleft(1, step + {SEED - 1})) AS bits FROM (
+    SELECT doc_id, h.item_id, shift, h.ipos, step, shift + h.ipos + step AS position, n.term FROM {{hits}} h JOIN {{neighbours}} n ON n.item_id = h.item_id AND n.ipos = h.ipos) p
+  LEFT SEMI JOIN {{index}} i ON i.doc_id = p.doc_id AND i.position = p.position AND i.term = p.term
+  GROUP BY doc_id, item_id, shift, ipos)
+WHERE {RUNS_OF_SEED}
+"""
+#: All item words that stand at their place in one of the alignments (or one omitted word away), as unbroken runs.
+ALIGNED_SQL = """
+WITH near AS (SELECT DISTINCT doc_id, item_id, shift + d AS shift FROM {phrases} LATERAL VIEW explode(array(-1, 0, 1)) AS d
+), met AS (
+  SELECT doc_id, item_id, shift, ipos FROM (SELECT doc_id, n.item_id, shift, ipos, shift + ipos AS position, term FROM near n JOIN {terms} t ON t.item_id = n.item_id) p
+  LEFT SEMI JOIN (SELECT * FROM {index} LEFT SEMI JOIN near USING (doc_id)) i ON i.doc_id = p.doc_id AND i.position = p.position AND i.term = p.term)
+SELECT doc_id, item_id, shift, min(ipos) AS a, max(ipos) AS b FROM (
+  SELECT *, ipos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY ipos) AS island FROM met)
+GROUP BY doc_id, item_id, shift, island
+"""
+#: Runs alone, or two of them over one replaced word (same alignment) or one omitted word (the alignment before).
+FOUND_SQL = f"""
+WITH passages AS (
+  SELECT doc_id, item_id, a, b FROM {{runs}}
+  UNION ALL
+  SELECT l.doc_id, l.item_id, l.a, r.b FROM {{runs}} l JOIN {{runs}} r ON r.doc_id = l.doc_id AND r.item_id = l.item_id AND r.shift = l.shift AND r.a = l.b + 2
+  UNION ALL
+  SELECT l.doc_id, l.item_id, l.a, r.b FROM {{runs}} l JOIN {{runs}} r ON r.doc_id = l.doc_id AND r.item_id = l.item_id AND r.shift = l.shift - 1 AND r.a <= l.b + 2 AND r.b >= l.a + 2
+), longest AS (SELECT doc_id, item_id, max(struct(b - a + 1 AS words, a)) AS p FROM passages GROUP BY doc_id, item_id
+), covered AS (SELECT doc_id, item_id, size(array_distinct(flatten(collect_list(sequence(a, b))))) AS words FROM {{runs}} WHERE b - a + 1 >= {SEED} GROUP BY doc_id, item_id)
+SELECT l.doc_id, l.item_id, p.a AS item_start, p.words AS passage_words, c.words AS covered_words
+FROM longest l JOIN covered c ON c.doc_id = l.doc_id AND c.item_id = l.item_id WHERE p.words >= {MIN_WORDS}
+"""
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_start, passage_words, covered_words): one row per document and leaked item.
 
-    All documents are indexed, every test item is a query. Empty tables, null
-    texts and texts shorter than a passage give no rows.
+    ``covered_words`` counts the item words in exact runs of SEED or more. All
+    documents are indexed, every test item is a query. Empty tables, null texts
+    and texts shorter than a passage give no rows; a repeated document counts
+    once.
     """
     spark = documents.sparkSession
     terms = item_terms(items)
-    index = positional_index(documents, terms.term.unique().astype(np.int64))
-    counted = index.groupBy("term").count()
-    frequency = {r[0]: r[1] for r in counted.toLocalIterator()}  # at most one row per word of the test items
-    seeds = rarest_seeds(terms, frequency)
-    if seeds.empty:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, item_start int, passage_words int, covered_words int")
-    starts = spark.createDataFrame(seeds.astype({"item_id": "int64", "ipos": "int32", "term": "int64"}))
-    # the query set is stated and fixed in size, so its seeds may be broadcast if Spark finds them small
-    hits = index.join(starts, "term").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "ipos", "position")).alias("hits"))
-    lists = index.groupBy("doc_id").agg(F.collect_list(F.struct("position", "term")).alias("postings"))
-    item_of = spark.sparkContext.broadcast(Items({int(i): g.term.to_numpy() for i, g in terms.groupby("item_id")}))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, hit, post in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                place, term = (post.values.field(k).to_numpy() for k in ("position", "term"))
-                doc = np.zeros(int(place.max()) + 1, np.int64)
-                doc[place] = term
-                of, ipos, at = (hit.values.field(k).to_numpy() for k in ("item_id", "ipos", "position"))
-                kept = item_of.value.phrases(doc, of, ipos, at)
-                of, shift = of[kept], (at - ipos)[kept]
-                for item_id in np.unique(of):
-                    if p := passages(doc, item_of.value.terms[int(item_id)], set(shift[of == item_id].tolist())):
-                        rows.append((doc_id, int(item_id), *p))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "item_start", "passage_words", "covered_words"])
-
-    return (
-        lists.join(hits, "doc_id")
-        .select("doc_id", "hits", "postings")
-        .mapInArrow(run, "doc_id bigint, item_id bigint, item_start int, passage_words int, covered_words int")
-    )
+    index = positional_index(documents, terms)
+    seeds = store(spark.sql(SEEDS_SQL, index=index, terms=terms), "seeds")
+    hits = store(spark.sql(HITS_SQL, index=index, seeds=seeds), "hits")
+    neighbours = store(spark.sql(NEIGHBOURS_SQL, seeds=seeds, terms=terms), "neighbours")
+    phrases = store(spark.sql(PHRASES_SQL, hits=hits, neighbours=neighbours, index=index), "phrases")
+    runs = store(spark.sql(ALIGNED_SQL, phrases=phrases, terms=terms, index=index), "runs")
+    return spark.sql(FOUND_SQL, runs=runs)
