@@ -27,7 +27,7 @@ def p3_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return shred.element_links(shred.shred(table(spark, sf, "trace_event"), scalars=False))
+    return shred.element_links(shred.shred(table(spark, sf, "trace_event")))
 
 
 def p5_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,8 +47,12 @@ def p5_scalar_elements(spark: SparkSession, sf: str) -> DataFrame:
     return shred.scalar_elements(shred.shred(table(spark, sf, "trace_event")))
 
 
+def p5_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return shred.parse_errors(table(spark, sf, "trace_event"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_descendants, p3_trees, p5_found, p5_spans, p5_diagnostics, p5_entities, p5_scalar_elements)}
+    return {f.__name__: f for f in (p3_found, p3_descendants, p3_trees, p5_found, p5_spans, p5_diagnostics, p5_entities, p5_scalar_elements, p5_parse_errors)}
 
 
 CHAINS = r"""

@@ -12,7 +12,7 @@ def events(spark, payloads):
 
 
 def links(spark, payloads):
-    return {tuple(r) for r in S.element_links(S.shred(events(spark, payloads), scalars=False)).collect()}
+    return {tuple(r) for r in S.element_links(S.shred(events(spark, payloads))).collect()}
 
 
 def test_paths_and_owners(spark):
