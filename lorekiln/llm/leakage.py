@@ -3,10 +3,11 @@
 A distributed positional inverted index holds (term, document, position) of
 every document word that occurs in the test items, with the terms next to it.
 For each run of SEED test words the rarest one (by its postings) is looked up
-first; a neighbour must agree at once. Then the offset-adjusted postings of the
-rest of the run are intersected: what holds all of them is an exact phrase. The
-surviving alignments are intersected with all words of their item, and their
-runs are joined over one replaced or omitted word to the asked-for passage.
+first; the three terms before or the three behind must agree at once (a run of
+six around it holds one of these triples). Then the offset-adjusted postings of
+the rest of the run are intersected: what holds all of them is an exact phrase.
+The surviving alignments are laid over all words of their item, and their runs
+are joined over one replaced or omitted word to the asked-for passage.
 
 A passage counts if at least MIN_WORDS consecutive item words stand in the
 document in order, beginning and ending with a word that does, and among any
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,15 +57,16 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, ipos, term) of the test items, stored; null ids and texts give no rows, repeated rows count once."""
+    """(item_id, ipos, term, before, behind) of the test items, stored; null ids and texts give no rows, repeated rows count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 1):
             row, number, term = _terms(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(term, pa.int64())], names=["item_id", "ipos", "term"])
+            near = [pa.array(x, pa.int64()) for x in _triples(term, row)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(term, pa.int64()), *near], names=["item_id", "ipos", "term", "before", "behind"])
 
     texts = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    return store(texts.mapInArrow(run, "item_id bigint, ipos int, term bigint").distinct(), "item-terms")
+    return store(texts.mapInArrow(run, "item_id bigint, ipos int, term bigint, before bigint, behind bigint").distinct(), "item-terms")
 
 
 def _places(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +89,27 @@ def word_filter(terms: DataFrame) -> np.ndarray:
     return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _triples(term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key of the three terms before and of the three behind each term of its row; 0 where there are fewer."""
+    n = len(term)
+    if n < 4:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bits = term.view(np.uint64)
+    with np.errstate(over="ignore"):
+        key = (bits[:-2] * W.P + bits[1:-1]) * W.P + bits[2:]  # of the triple that begins here
+    key |= np.uint64(1)
+    whole = row[:-2] == row[2:]
+    before, behind = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    before[3:] = np.where(whole[:-1] & (row[2:-1] == row[3:]), key[:-1], 0)
+    behind[:-3] = np.where(whole[1:] & (row[1:-2] == row[:-3]), key[1:], 0)
+    return before.view(np.int64), behind.view(np.int64)
+
+
 def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, position, term, before, behind) of the document words that occur in the items, stored clustered by term.
 
     Positions count all words of the text, also those that aren't stored; so do
-    the terms before and behind. Documents with a null id or text have no postings.
+    the triples before and behind. Documents with a null id or text have no postings.
     """
     wanted = documents.sparkSession.sparkContext.broadcast(word_filter(terms))
 
@@ -99,7 +118,7 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
             row, number, term = _terms(batch.column(1))
             a, b = _places(term)
             keep = np.flatnonzero(wanted.value[a] & wanted.value[b])
-            near = [np.where((keep + step >= 0) & (keep + step < len(term)), term[np.clip(keep + step, 0, max(len(term) - 1, 0))], 0) for step in (-1, 1)] if len(term) else [term, term]
+            near = [x[keep] for x in _triples(term, row)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row[keep])), pa.array(number[keep], pa.int32()), pa.array(term[keep], pa.int64()), *(pa.array(x, pa.int64()) for x in near)],
                 names=["doc_id", "position", "term", "before", "behind"],
@@ -112,9 +131,7 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 SEEDS_SQL = f"""
 WITH counted AS (SELECT term, count(*) AS postings FROM {{index}} GROUP BY term
-), placed AS (
-  SELECT t.*, coalesce(postings, 0) AS postings, lag(t.term) OVER w AS before, lead(t.term) OVER w AS behind FROM {{terms}} t LEFT JOIN counted c ON c.term = t.term
-  WINDOW w AS (PARTITION BY item_id ORDER BY ipos)
+), placed AS (SELECT t.*, coalesce(postings, 0) AS postings FROM {{terms}} t LEFT JOIN counted c ON c.term = t.term
 ), runs AS (
   SELECT item_id, min(struct(postings, ipos, term, before, behind)) OVER w AS rarest, count(*) OVER w AS words FROM placed
   WINDOW w AS (PARTITION BY item_id ORDER BY ipos ROWS BETWEEN CURRENT ROW AND {SEED - 1} FOLLOWING))
@@ -126,7 +143,7 @@ SELECT n.item_id, n.ipos, n.step, t.term FROM (SELECT item_id, ipos, ipos + step
 JOIN {{terms}} t ON t.item_id = n.item_id AND t.ipos = n.at
 """
 HITS_SQL = """
-SELECT DISTINCT doc_id, item_id, s.ipos, position - s.ipos AS shift FROM {index} i JOIN {seeds} s ON s.term = i.term WHERE i.before = s.before OR i.behind = s.behind
+SELECT DISTINCT doc_id, item_id, s.ipos, position - s.ipos AS shift FROM {index} i JOIN {seeds} s ON s.term = i.term WHERE i.before = s.before AND s.before <> 0 OR i.behind = s.behind AND s.behind <> 0
 """
 RUNS_OF_SEED = " OR ".join(f"bits & {sum(1 << k for k in range(SEED - 1 - j, 2 * SEED - 1 - j) if k != SEED - 1)} = {sum(1 << k for k in range(SEED - 1 - j, 2 * SEED - 1 - j) if k != SEED - 1)}" for j in range(SEED))
 PHRASES_SQL = f"""
@@ -137,28 +154,66 @@ SELECT DISTINCT doc_id, item_id, shift FROM (
   GROUP BY doc_id, item_id, shift, ipos)
 WHERE {RUNS_OF_SEED}
 """
-#: All item words that stand at their place in one of the alignments (or one omitted word away), as unbroken runs.
-ALIGNED_SQL = """
-WITH near AS (SELECT DISTINCT doc_id, item_id, shift + d AS shift FROM {phrases} LATERAL VIEW explode(array(-1, 0, 1)) AS d
-), met AS (
-  SELECT doc_id, item_id, shift, ipos FROM (SELECT doc_id, n.item_id, shift, ipos, shift + ipos AS position, term FROM near n JOIN {terms} t ON t.item_id = n.item_id) p
-  LEFT SEMI JOIN (SELECT * FROM {index} LEFT SEMI JOIN near USING (doc_id)) i ON i.doc_id = p.doc_id AND i.position = p.position AND i.term = p.term)
-SELECT doc_id, item_id, shift, min(ipos) AS a, max(ipos) AS b FROM (
-  SELECT *, ipos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY ipos) AS island FROM met)
-GROUP BY doc_id, item_id, shift, island
+#: The alignments of each document with the words of their items, at most CHUNK in a row, and the document's own postings.
+CHUNK = 256
+CHUNKS_SQL = f"""
+WITH words AS (SELECT item_id, transform(array_sort(collect_list(struct(ipos, term))), x -> x.term) AS words FROM {{terms}} GROUP BY item_id
+), alignments AS (  -- also one word on: there the run before an omitted word begins
+  SELECT DISTINCT doc_id, item_id, shift + d AS shift FROM {{phrases}} LATERAL VIEW explode(array(0, 1)) AS d
+), asked AS (
+  SELECT p.doc_id, p.item_id, p.shift, w.words, div(row_number() OVER (PARTITION BY p.doc_id ORDER BY p.item_id, p.shift) - 1, {CHUNK}) AS chunk FROM alignments p JOIN words w ON w.item_id = p.item_id
+), asked_by_doc AS (SELECT doc_id, chunk, collect_list(struct(item_id, shift, words)) AS asked FROM asked GROUP BY doc_id, chunk
+), postings AS (SELECT doc_id, collect_set(struct(position, term)) AS postings FROM {{near}} LEFT SEMI JOIN {{phrases}} USING (doc_id) GROUP BY doc_id)
+SELECT a.doc_id, a.asked, p.postings FROM asked_by_doc a JOIN postings p ON p.doc_id = a.doc_id
 """
-#: Runs alone, or two of them over one replaced word (same alignment) or one omitted word (the alignment before).
+
+
+def _runs(match: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Length of the unbroken run of matches that ends at each place; a run never goes beyond a begin."""
+    at = np.arange(1, len(match) + 1)
+    stop = np.where(match, 0, at)
+    stop[begins] = np.maximum(stop[begins], at[begins] - 1)
+    return at - np.maximum.accumulate(stop)
+
+
+def align(doc: np.ndarray, words: np.ndarray, lengths: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For alignments laid end to end: the longest passage of each with at most one change (words, begin), and the words in exact runs.
+
+    ``words`` holds the items' words end to end, ``doc`` the document's by
+    position. A replaced word stays in its alignment, behind an omitted one the
+    document is one word behind.
+    """
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(words)) - begins[of]
+
+    def matches(extra: int) -> np.ndarray:
+        at = place + shifts[of] + extra
+        return (at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == words)
+
+    back = lambda m: _runs(m[::-1], (len(m) - ends)[::-1])[::-1]
+    here = matches(0)
+    before = _runs(here, begins)
+    best, start = before.copy(), place + 1 - before
+    for later in (here, matches(-1)):
+        after = back(later)
+        inside = np.flatnonzero((place[1:-1] > 0) & (place[1:-1] < lengths[of[1:-1]] - 1)) + 1  # the changed word
+        left, right = before[inside - 1], after[inside + 1]
+        total = np.where((left > 0) & (right > 0), left + 1 + right, 0)
+        longer = total > best[inside]
+        best[inside[longer]] = total[longer]
+        start[inside[longer]] = place[inside[longer]] - left[longer]
+    order = np.lexsort((start, best, of))
+    top = order[ends - 1]  # the longest of each alignment, the last begin among equals
+    whole = before + back(here) - 1 >= SEED
+    return best[top], start[top], here & whole
+
+
 FOUND_SQL = f"""
-WITH passages AS (
-  SELECT doc_id, item_id, a, b FROM {{runs}}
-  UNION ALL
-  SELECT l.doc_id, l.item_id, l.a, r.b FROM {{runs}} l JOIN {{runs}} r ON r.doc_id = l.doc_id AND r.item_id = l.item_id AND r.shift = l.shift AND r.a = l.b + 2
-  UNION ALL
-  SELECT l.doc_id, l.item_id, l.a, r.b FROM {{runs}} l JOIN {{runs}} r ON r.doc_id = l.doc_id AND r.item_id = l.item_id AND r.shift = l.shift - 1 AND r.a <= l.b + 2 AND r.b >= l.a + 2
-), longest AS (SELECT doc_id, item_id, max(struct(b - a + 1 AS words, a)) AS p FROM passages GROUP BY doc_id, item_id
-), covered AS (SELECT doc_id, item_id, size(array_distinct(flatten(collect_list(sequence(a, b))))) AS words FROM {{runs}} WHERE b - a + 1 >= {SEED} GROUP BY doc_id, item_id)
-SELECT l.doc_id, l.item_id, p.a AS item_start, p.words AS passage_words, c.words AS covered_words
-FROM longest l JOIN covered c ON c.doc_id = l.doc_id AND c.item_id = l.item_id WHERE p.words >= {MIN_WORDS}
+SELECT doc_id, item_id, best.a AS item_start, best.words AS passage_words, covered AS covered_words FROM (
+  SELECT doc_id, item_id, max(struct(words, a)) AS best, size(array_distinct(flatten(collect_list(covered)))) AS covered FROM {{passages}} GROUP BY doc_id, item_id)
+WHERE best.words >= {MIN_WORDS}
 """
 
 
@@ -175,7 +230,34 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     index = positional_index(documents, terms)
     seeds = store(spark.sql(SEEDS_SQL, index=index, terms=terms), "seeds")
     hits = store(spark.sql(HITS_SQL, index=index, seeds=seeds), "hits")
-    neighbours = store(spark.sql(NEIGHBOURS_SQL, seeds=seeds, terms=terms), "neighbours")
-    phrases = store(spark.sql(PHRASES_SQL, hits=hits, neighbours=neighbours, index=index), "phrases")
-    runs = store(spark.sql(ALIGNED_SQL, phrases=phrases, terms=terms, index=index), "runs")
-    return spark.sql(FOUND_SQL, runs=runs)
+    near = store(index.select("doc_id", "position", "term").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "near")
+    neighbours = spark.sql(NEIGHBOURS_SQL, seeds=seeds, terms=terms)
+    phrases = store(spark.sql(PHRASES_SQL, hits=hits, neighbours=neighbours, index=near), "phrases")
+    schema = "doc_id bigint, item_id bigint, words int, a int, covered array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, asked, posted in zip(batch.column(0), batch.column(1), batch.column(2)):
+                position, term = (posted.values.field(k).to_numpy() for k in ("position", "term"))
+                doc = np.zeros(int(position.max()) + 1, np.int64)
+                doc[position] = term
+                item, shift, words = (asked.values.field(k) for k in ("item_id", "shift", "words"))
+                lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+                best, start, covered = align(doc, words.flatten().to_numpy(), lengths, shift.to_numpy().astype(np.int64))
+                at = np.flatnonzero(covered)
+                ends = np.cumsum(lengths)
+                offsets = np.concatenate(([0], np.searchsorted(at, ends)))
+                places = at - np.repeat(ends - lengths, np.diff(offsets))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([doc_id.as_py()] * len(lengths), pa.int64()),
+                        item,
+                        pa.array(best, pa.int32()),
+                        pa.array(start, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())),
+                    ],
+                    names=["doc_id", "item_id", "words", "a", "covered"],
+                )
+
+    passages = spark.sql(CHUNKS_SQL, terms=terms, phrases=phrases, near=near).mapInArrow(run, schema)
+    return spark.sql(FOUND_SQL, passages=passages)
