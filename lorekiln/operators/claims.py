@@ -186,15 +186,14 @@ def distinct_first(df: DataFrame, columns: list[str], order: str = "ordinal") ->
 def count_with_evidence(df: DataFrame) -> DataFrame:
     """One row: how many, and a digest of all their evidence; no rows count as 0. Order and limit don't matter here.
 
-    The union of the evidence is kept as its number of members and the hash of
-    the sorted hashes' sum, since a list of all would be one row as large as
-    the table.
+    The union of the evidence is kept as its number of members and the xor of
+    their hashes (the first 60 bits of SHA-256), since a list of all would be
+    one row as large as the table.
     """
-    members = df.select(F.explode_outer("evidence").alias("e"), "claim")
-    per = members.groupBy("e").agg(F.count("*").alias("k"))
-    n = df.agg(F.count("*").alias("count"))
-    u = per.agg(F.count("e").alias("evidence_count"))
-    return n.withColumn("k", F.lit(1)).join(u.withColumn("k", F.lit(1)), "k").select("count", F.lit("count").alias("mode"), "evidence_count")
+    members = df.select(F.explode("evidence").alias("e")).groupBy("e").agg(F.lit(1).alias("one"))
+    union = members.agg(F.count("*").alias("evidence_count"), F.coalesce(F.bit_xor(F.conv(F.left(F.sha2("e", 256), F.lit(15)), 16, 10).cast("bigint")), F.lit(0).cast("bigint")).alias("evidence_digest"))
+    n = df.agg(F.count("*").alias("count"), F.lit("count").alias("mode"))
+    return n.withColumn("k", F.lit(1)).join(union.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 def execute(query: Query, claims: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -287,11 +286,18 @@ def fact_quality() -> Column:
     )
 
 
-def page(df: DataFrame, by: list[str], order: list[str], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of each group with the total and whether more follow."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).withColumn("truncated", F.col("total") > offset + limit)
+def page(df: DataFrame, by: list[str], order: list[str], offset: int, limit: int, salts: int = 32) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of each group with the total and whether more follow.
+
+    A group is first cut to its top rows in each of ``salts`` parts, so a hot
+    one is never sorted in a single task; totals are counted apart.
+    """
+    salted = df.withColumn("salt__", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    part = Window.partitionBy(*by, "salt__").orderBy(*order)
+    top = salted.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= offset + limit)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    totals = df.groupBy(*by).agg(F.count("*").alias("total"))
+    return ranked.join(totals, by).drop("salt__").withColumn("truncated", F.col("total") > offset + limit)
 
 
 PREDICATES = {"IS_A": ("HasProperty", ""), "LOCATED_IN": ("LocatedAt", "")}

@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from lorekiln.session import cut
 
+from .ordered import carried, neighbours_in_order, newest
+
 
 def chain(tokens: DataFrame, by: list[str], order: str, steps: int = 1) -> DataFrame:
-    """Each row with the previous and next row's order within its group."""
+    """Each row with the previous and next row's order within its group, ``steps`` rows away.
+
+    One step works on groups of any size; more steps sort each group in one task.
+    """
+    if steps == 1:
+        return neighbours_in_order(tokens, by, order)
     w = Window.partitionBy(*by).orderBy(order)
     return tokens.withColumn("previous", F.lag(order, steps).over(w)).withColumn("next", F.lead(order, steps).over(w))
 
@@ -103,9 +110,9 @@ def closure(pairs: DataFrame) -> DataFrame:
         known = cut(known.unionByName(fresh))
 
 
-def carry_forward(turns: DataFrame, by: str, order: str, value: str) -> Column:
-    """The last value before a row, nulls passed over."""
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def carry_forward(turns: DataFrame, by: str, order: str, value: str, to: str) -> DataFrame:
+    """Adds the last value before each row of its group, nulls passed over."""
+    return carried(turns, [by], order, value, to)
 
 
 def earlier_links(mentions: DataFrame, by: str, order: str, key: str) -> DataFrame:
@@ -114,7 +121,7 @@ def earlier_links(mentions: DataFrame, by: str, order: str, key: str) -> DataFra
     return mentions.withColumn("antecedent", F.lag(order).over(w)).where(F.col("antecedent").isNotNull())
 
 
-def recent(mentions: DataFrame, by: str, order: str, window: int) -> DataFrame:
-    """The last ``window`` mentions of each group, the newest first."""
-    w = Window.partitionBy(by).orderBy(F.col(order).desc())
-    return mentions.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= window)
+def recent(mentions: DataFrame, by: str, order: str, window: int, kind: Column | None = None) -> DataFrame:
+    """The last ``window`` mentions of each group, the newest first; of them those of a kind, if one is asked for."""
+    rows = newest(mentions, [by], order, window)
+    return rows if kind is None else rows.where(kind)

@@ -32,19 +32,20 @@ def token_rows(documents: DataFrame) -> DataFrame:
 
 
 def context_windows(documents: DataFrame, word: str, reach: int) -> DataFrame:
-    """(doc_id, position, context): the tokens around every use of a word."""
+    """(doc_id, position, context): the tokens around every use of a word; only those slices leave the row."""
     tokens = documents.select("doc_id", words(F.col("text")).alias("tokens"))
-    hits = tokens.select("doc_id", "tokens", F.posexplode("tokens").alias("position", "token")).where(F.col("token") == word)
-    begin = F.greatest(F.col("position") - reach, F.lit(0))
-    return hits.select("doc_id", "position", F.array_join(F.slice("tokens", begin + 1, F.col("position") - begin + 1 + reach), " ").alias("context"))
+    places = F.filter(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.element_at("tokens", i) == word)
+    begin = lambda i: F.greatest(i - reach, F.lit(1))
+    hits = F.transform(places, lambda i: F.struct((i - 1).alias("position"), F.array_join(F.slice("tokens", begin(i), i + reach + 1 - begin(i)), " ").alias("context")))
+    return tokens.where(F.array_contains("tokens", word)).select("doc_id", F.inline(hits))
 
 
 def multiword_hits(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, position, form, lemma): lexicon forms of three, two or one words, the longest at each place."""
-    tokens = documents.select("doc_id", words(F.col("text")).alias("t"))
-    place = tokens.select("doc_id", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i")).where(F.size("t") > 0)
-    grams = place.select("doc_id", (F.col("i") - 1).alias("position"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.col("i") + n - 1 <= F.size("t"), F.array_join(F.slice("t", F.col("i"), F.lit(n)), " ")).alias("form")) for n in (3, 2, 1)])).alias("g"))
-    hits = grams.select("doc_id", "position", "g.n", "g.form").where(F.col("form").isNotNull()).join(lexicon, "form")
+    t = documents.select("doc_id", words(F.col("text")).alias("t")).where(F.size("t") > 0)
+    place = t.select("doc_id", F.posexplode(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("u"), F.slice("t", F.lit(3), F.size("t")).alias("v"))).alias("position", "w")).select("doc_id", "position", "w.t", "w.u", "w.v")
+    forms = F.array(F.struct(F.lit(3).alias("n"), F.concat("t", F.lit(" "), "u", F.lit(" "), "v").alias("form")), F.struct(F.lit(2).alias("n"), F.concat("t", F.lit(" "), "u").alias("form")), F.struct(F.lit(1).alias("n"), F.col("t").alias("form")))
+    hits = place.select("doc_id", "position", F.inline(forms)).where(F.col("form").isNotNull()).join(lexicon, "form")
     return hits.groupBy("doc_id", "position").agg(F.max(F.struct("n", "form", "lemma")).alias("m")).select("doc_id", "position", "m.form", "m.lemma")
 
 
@@ -103,9 +104,14 @@ def apply_rules(stems: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def analyse(surfaces: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """(surface, stem, feature) of every suffix rule that fits: looked up by the last one to four letters."""
-    ends = surfaces.select("surface", F.explode(F.array_distinct(F.array(*[F.right("surface", F.lit(n)) for n in (1, 2, 3, 4)]))).alias("suffix"))
-    return ends.join(suffixes, "suffix").where(F.length("surface") > F.length("suffix")).select("surface", F.concat(F.left("surface", F.length("surface") - F.length("suffix")), F.coalesce("restore", F.lit(""))).alias("stem"), "feature")
+    """(surface, stem, feature) of every suffix rule that fits, whatever its length.
+
+    ``suffixes``: suffix, restore, feature. Surfaces meet the rules of their
+    last letter, then the whole suffix is compared.
+    """
+    rules = suffixes.withColumn("last", F.right("suffix", F.lit(1)))
+    met = surfaces.withColumn("last", F.right("surface", F.lit(1))).join(rules, "last").where(F.endswith("surface", F.col("suffix")) & (F.length("surface") > F.length("suffix")))
+    return met.select("surface", F.concat(F.left("surface", F.length("surface") - F.length("suffix")), F.coalesce("restore", F.lit(""))).alias("stem"), "feature")
 
 
 def inherited(pairs: DataFrame, own: DataFrame, value: str) -> DataFrame:

@@ -10,21 +10,23 @@ CLOSERS = "\"'”’»)\\]}"
 ABBREVIATIONS = {"en": ["mr", "mrs", "ms", "dr", "prof", "etc", "e.g", "i.e"], "pl": ["dr", "prof", "np", "inż", "mgr", "ul", "tj"]}
 
 
+LINE = r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\z|(?<=[\r\n])\z|^\z"
+
+
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, start_byte, end_byte, blank): lines by LF, CRLF or CR; spans leave the terminator out.
+    """(doc_id, line_no, line, start_byte, end_byte, full_end, blank): lines by LF, CRLF or CR.
 
-    Null texts give no rows, an empty text one empty line.
+    ``end_byte`` leaves the terminator out, ``full_end`` takes it in. Null texts
+    give no rows, an empty text one empty line.
     """
-    nl = F.regexp_replace("text", "\r\n", "\x00\n")  # one terminator of two bytes keeps its length
-    parts = F.split(F.regexp_replace(nl, "\r", "\n"), "\n")
-    raw = documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(parts).alias("line_no", "raw"))
-    clean = F.regexp_replace("raw", "\x00", "")
+    raw = documents.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(LINE), F.lit(0))).alias("line_no", "raw"))
+    line = F.rtrim("raw", F.lit("\r\n"))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("raw") + 1).over(w), F.lit(0))
+    start = F.coalesce(F.sum(F.octet_length("raw")).over(w), F.lit(0))
     return (
         raw.withColumn("start_byte", start)
-        .select("doc_id", "line_no", clean.alias("line"), "start_byte", (F.col("start_byte") + F.octet_length(clean)).alias("end_byte"))
-        .withColumn("blank", F.col("line").rlike(r"^[\s\p{Z}]*$"))
+        .select("doc_id", "line_no", line.alias("line"), "start_byte", (F.col("start_byte") + F.octet_length(line)).alias("end_byte"), (F.col("start_byte") + F.octet_length("raw")).alias("full_end"))
+        .withColumn("blank", F.col("line").rlike(r"^[\s\p{Z}]*\z"))
     )
 
 
@@ -68,11 +70,18 @@ def partition_errors(documents: DataFrame, block_rows: DataFrame) -> DataFrame:
 
 
 def reconstructed(documents: DataFrame, block_rows: DataFrame) -> DataFrame:
-    """(doc_id, blocks, same): whether the blocks laid end to end give the text back."""
-    text = documents.select("doc_id", "text", F.encode("text", "utf-8").alias("bytes"))
-    pieces = block_rows.join(text, "doc_id").select("doc_id", "block_no", F.decode(F.substring(F.col("bytes"), F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int")), "utf-8").alias("piece"))
-    joined = pieces.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "piece"))), lambda x: x.piece), "").alias("whole"))
-    return joined.join(documents.select("doc_id", "text"), "doc_id").select("doc_id", "blocks", (F.col("whole") == F.col("text")).alias("same"))
+    """(doc_id, blocks, same): whether the blocks laid end to end give the text back.
+
+    The spans of a document are gathered, not copies of its text, and cut out of it in one row.
+    """
+    spans = block_rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "start_byte", "end_byte"))).alias("spans"))
+    joined = spans.join(documents.where(F.col("text").isNotNull()).select("doc_id", "text", F.encode("text", "utf-8").alias("bytes")), "doc_id")
+    piece = lambda x: F.substring(F.col("bytes"), x.start_byte.cast("int") + 1, (x.end_byte - x.start_byte).cast("int")).cast("string")
+    return joined.select("doc_id", F.size("spans").cast("bigint").alias("blocks"), (F.array_join(F.transform("spans", piece), "") == F.col("text")).alias("same"))
+
+
+#: Two code points that never are characters, so no text holds them.
+HIDDEN, CUT = "\ufdd0", "\ufdd1"
 
 
 def rule_sentences(text: Column, abbreviations: list[str] | None = None) -> Column:
@@ -88,14 +97,14 @@ def rule_sentences(text: Column, abbreviations: list[str] | None = None) -> Colu
     if words:
         dotted = [w for w in words if "." in w]
         for w in dotted:
-            hidden = F.regexp_replace(hidden, f"(?i){opened}{w.replace('.', chr(92) + '.')}\\.", "$1" + w.replace(".", "\x01") + "\x01")
-        hidden = F.regexp_replace(hidden, f"(?i){opened}({'|'.join(w for w in words if '.' not in w)})\\.(\\s|$)", "$1$2\x01$3")
+            hidden = F.regexp_replace(hidden, f"(?i){opened}{w.replace('.', chr(92) + '.')}\\.", "$1" + w.replace(".", HIDDEN) + HIDDEN)
+        hidden = F.regexp_replace(hidden, f"(?i){opened}({'|'.join(w for w in words if '.' not in w)})\\.(\\s|$)", "$1$2" + HIDDEN + "$3")
     for _ in range(2):  # matches overlap
-        hidden = F.regexp_replace(hidden, r"([\p{L}\p{N}])\.([\p{L}\p{N}])", "$1\x01$2")
+        hidden = F.regexp_replace(hidden, r"([\p{L}\p{N}])\.([\p{L}\p{N}])", "$1" + HIDDEN + "$2")
     for _ in range(2):
-        hidden = F.regexp_replace(hidden, opened + r"(\p{L})\.(\s*\p{L}[\p{L}." + "\x01])", "$1$2\x01$3")
-    marked = F.regexp_replace(hidden, f"([.!?…]+[{CLOSERS}]*)[\\s]*", "$1\x02")
-    pieces = F.transform(F.split(marked, "\x02"), lambda x: F.regexp_replace(F.regexp_replace(x, "\x01", "."), r"^\s+|\s+$", ""))
+        hidden = F.regexp_replace(hidden, opened + r"(\p{L})\.(\s*\p{L}[\p{L}." + HIDDEN + "])", "$1$2" + HIDDEN + "$3")
+    marked = F.regexp_replace(hidden, f"([.!?…]+[{CLOSERS}]*)[\\s]*", "$1" + CUT)
+    pieces = F.transform(F.split(marked, CUT), lambda x: F.regexp_replace(F.regexp_replace(x, HIDDEN, "."), r"^\s+|\s+$", ""))
     return F.filter(pieces, lambda x: x != "")
 
 
@@ -124,18 +133,28 @@ def span_relation(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def line_of_offset(offsets: DataFrame, line_rows: DataFrame) -> DataFrame:
-    """Line (from 1) of each (doc_id, offset): the last line that begins at or before it.
+    """Line and column in characters (both from 1) of each (doc_id, offset): the last line that begins at or before it.
 
-    Both sides are sorted together and the last line start carried forward, so
-    no offset meets every line of its document.
+    Both sides are sorted together and the last line carried forward, so no
+    offset meets every line of its document. An offset inside a character
+    counts as behind it, one behind the line's end as in a column beyond it.
     """
-    starts = line_rows.select("doc_id", F.col("start_byte").alias("at"), F.lit(0).alias("side"), F.col("line_no").cast("int").alias("line"), F.lit(None).cast("bigint").alias("offset"))
-    asked = offsets.select("doc_id", F.col("offset").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("line"), F.col("offset").cast("bigint").alias("offset"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    starts = line_rows.select("doc_id", F.col("start_byte").alias("at"), F.lit(0).alias("side"), F.struct(F.col("line_no").cast("int").alias("no"), F.col("start_byte").alias("start"), "line").alias("line"), nothing("bigint").alias("offset"))
+    asked = offsets.select("doc_id", F.col("offset").alias("at"), F.lit(1).alias("side"), nothing("struct<no:int,start:bigint,line:string>").alias("line"), F.col("offset").cast("bigint").alias("offset"))
     w = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = starts.unionByName(asked).withColumn("line", F.last("line", ignorenulls=True).over(w)).withColumn("line_start", F.max(F.when(F.col("side") == 0, F.col("at"))).over(w))
-    return both.where("side = 1").select("doc_id", "offset", (F.col("line") + 1).alias("line"), (F.col("offset") - F.col("line_start") + 1).alias("byte_column"))
+    both = starts.unionByName(asked).withColumn("line", F.last("line", ignorenulls=True).over(w)).where("side = 1")
+    size = (F.col("offset") - F.col("line.start")).cast("int")
+    inside = F.length(F.substring(F.encode("line.line", "utf-8"), F.lit(1), size).cast("string"))
+    beyond = F.greatest(size - F.octet_length("line.line"), F.lit(0))
+    return both.select("doc_id", "offset", (F.col("line.no") + 1).alias("line"), (inside + beyond + 1).cast("bigint").alias("char_column"))
 
 
-def assemble(sentences: DataFrame, order: str, generated: str, source: str) -> DataFrame:
-    """Per document the generated sentences in order, the source where there is none."""
-    return sentences.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(generated, source).alias("s")))), lambda x: x.s), " ").alias("text"))
+def assemble(sentences: DataFrame, order: str, generated: str, raw: str) -> DataFrame:
+    """Per document the raw spans in order, the content of each replaced where something was generated; blanks around it stay.
+
+    A document is one row of the result, as it was before it was cut.
+    """
+    blank = lambda p: F.regexp_extract(F.col(raw), p, 0)
+    piece = F.when(F.col(generated).isNull(), F.col(raw)).otherwise(F.concat(blank(r"^\s*"), F.col(generated), F.when(F.trim(raw) == "", "").otherwise(blank(r"\s*\z"))))
+    return sentences.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece.alias("s")))), lambda x: x.s), "").alias("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.operators import claims as C
 from lorekiln.operators import knowledge as K
-from lorekiln.sources.tables import table
+from lorekiln.sources.tables import current_rows, table
 
 # bundle: table, key, subject, predicate kind, predicate, object kind, object, factuality (expressions of both SQL dialects)
 BUNDLES = {
@@ -108,9 +108,19 @@ def q_boolean_answer_status(spark: SparkSession, sf: str) -> DataFrame:
     return C.boolean_status(claims(spark, sf, "orders"), ["obj_val"])
 
 
+INTENTS = ["Select", "Count", "Contradiction", "Explain"]
+
+
 def q_answer_status(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.render(C.with_evidence(claims(spark, sf, "customer"), order_occurrences(spark, sf)))
-    return C.answer_status(rows, "Select", ["object"])
+    """The status of the answer about each nation under every intent; suppliers have no evidence."""
+    rows = C.render(C.with_evidence(claims(spark, sf, "customer", "supplier"), order_occurrences(spark, sf)))
+    per = [C.answer_status(rows, i, ["bundle_id", "object"]).withColumn("intent", F.lit(i)) for i in INTENTS]
+    return reduce(DataFrame.unionByName, per)
+
+
+def q_boolean_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Yes, no or both over the statuses of all bundles."""
+    return C.boolean_status(claims(spark, sf, "lineitem", "orders", "part"), ["pred_val", "obj_kind", "obj_val"])
 
 
 def q_multi_bundle_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,16 +164,25 @@ def q_ambiguous_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_entity_links(spark: SparkSession, sf: str) -> DataFrame:
-    mentions = table(spark, sf, "mention_resolution_profile").selectExpr("mention_id", "cast(NULL AS bigint) AS entity_id", "'NAME' AS concept", "exact_surface AS name").where("mention_id IS NOT NULL")
+    """The entity of each current mention: by its id where the normalised surface names one exactly, else by the name."""
+    mentions = current_rows(table(spark, sf, "mention_resolution_profile"), "mention_id", ["ingested_at"], ["exact_surface", "normalized_surface"])
+    ids = table(spark, sf, "entity_ref").groupBy(F.lower("canonical_name").alias("normalized_surface")).agg(F.max("entity_id").alias("entity_id"))
+    named = mentions.join(ids, "normalized_surface", "left").select("mention_id", "entity_id", F.lit("NAME").alias("concept"), F.col("exact_surface").alias("name"))
     clusters = table(spark, sf, "entity_ref").selectExpr("entity_id AS cluster_id", "entity_id", "'NAME' AS concept", "canonical_name")
-    return K.link_entities(mentions, clusters).where("cluster_id IS NOT NULL").distinct()
+    return K.link_entities(named, clusters).where("cluster_id IS NOT NULL").distinct()
+
+
+FRAME_KINDS = [r[0] for r in K.FRAME_RULES] + ["Transfer"]
+FRAME_ROLES = sorted({r[k] for r in K.FRAME_RULES for k in (1, 4)})
 
 
 def q_frame_triples(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    frames = orders.selectExpr("o_orderkey AS frame_id", "CASE o_orderstatus WHEN 'F' THEN 'Consumption' WHEN 'O' THEN 'Statement' ELSE 'Transfer' END AS frame_type", "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS quantity")
-    roles = orders.selectExpr("o_orderkey AS frame_id", "explode(array(struct('Agent' AS role, concat('c', cast(o_custkey AS string)) AS filler), struct('Theme' AS role, concat('o', cast(o_orderkey AS string)) AS filler), struct('Attribute' AS role, o_orderpriority AS filler), struct('Patient' AS role, o_orderstatus AS filler))) AS r").select("frame_id", "r.role", "r.filler")
-    return K.frame_triples(frames, roles)
+    """Orders as frames of every type with every role; each third has a quantity, the first of each customer's status no subject roles."""
+    kinds = F.array(*map(F.lit, FRAME_KINDS))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.element_at(kinds, (F.col("o_custkey") % len(FRAME_KINDS) + 1).cast("int")).alias("frame_type"), (F.col("o_orderstatus") == "P").alias("bare"))
+    frames = orders.select(F.col("o_orderkey").alias("frame_id"), "frame_type", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("quantity"))
+    roles = orders.select(F.col("o_orderkey").alias("frame_id"), "bare", F.explode(F.array(*map(F.lit, FRAME_ROLES))).alias("role")).where("NOT bare OR role = 'Object'")
+    return K.frame_triples(frames, roles.select("frame_id", "role", F.concat(F.lower("role"), F.lit(":"), F.col("frame_id").cast("string")).alias("filler")))
 
 
 def q_value_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,13 +193,13 @@ def q_value_text(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("p_partkey", C.value_text().alias("value"))
 
 
-QUERIES = [q_claim_scan_filter, q_claim_boolean_tree, q_claim_count_evidence, q_claim_distinct_first, q_claim_sort_limit, q_claim_contradictions, q_claim_contested, q_claim_signature_dedupe, q_boolean_answer_status, q_answer_status, q_multi_bundle_merge, q_evidence_attach, q_answer_ranking, q_answer_text, q_fact_quality, q_facts_by_entity_paged, q_ambiguous_names, q_entity_links, q_frame_triples, q_value_text]
+QUERIES = [q_claim_scan_filter, q_claim_boolean_tree, q_claim_count_evidence, q_claim_distinct_first, q_claim_sort_limit, q_claim_contradictions, q_claim_contested, q_claim_signature_dedupe, q_boolean_answer_status, q_answer_status, q_boolean_answers, q_multi_bundle_merge, q_evidence_attach, q_answer_ranking, q_answer_text, q_fact_quality, q_facts_by_entity_paged, q_ambiguous_names, q_entity_links, q_frame_triples, q_value_text]
 
 STATUS = "CASE WHEN count(*) = 0 OR coalesce(sum(evidence_count), 0) = 0 THEN 'Unknown' WHEN count(*) = 1 THEN 'Exact' ELSE 'Supported' END"
 SQL = {
     "q_claim_scan_filter": _with("customer") + "SELECT claim, status, subject, predicate, object, factuality, world, confidence, occurrences, source_sentences, evidence_count FROM rendered WHERE object = 'cluster:nation:7' AND evidence_count > 0",
     "q_claim_boolean_tree": _with("customer", "supplier", occ=NO_OCC) + "SELECT claim, subject, object FROM rendered WHERE object IN ('cluster:nation:3', 'cluster:nation:5') AND subject <> 'cluster:customer:7' AND status = 'Supported'",
-    "q_claim_count_evidence": _with("customer") + "SELECT count(*) AS count, 'count' AS mode, sum(evidence_count)::BIGINT AS evidence_count FROM rendered WHERE object <> 'cluster:nation:1'",
+    "q_claim_count_evidence": _with("customer") + "SELECT (SELECT count(*) FROM rendered WHERE object <> 'cluster:nation:1') AS count, 'count' AS mode, count(*) AS evidence_count, bit_xor(('0x' || left(sha256(e), 15))::BIGINT) AS evidence_digest FROM (SELECT DISTINCT unnest(list_append(cited, 'claim:' || claim)) AS e FROM rendered WHERE object <> 'cluster:nation:1' AND cited IS NOT NULL)",
     "q_claim_distinct_first": "SELECT concat('cluster:part:', l_partkey) AS subject, concat('cluster:supplier:', l_suppkey) AS object, min(l_orderkey * 8 + l_linenumber) AS ordinal, concat('lineitem:', min(l_orderkey * 8 + l_linenumber)) AS claim FROM lineitem GROUP BY l_partkey, l_suppkey",
     "q_claim_sort_limit": _with("customer") + "SELECT claim, confidence, evidence_count FROM rendered ORDER BY evidence_count DESC NULLS LAST, confidence NULLS FIRST, claim LIMIT 25",
     "q_claim_contradictions": f"""WITH claims AS ({claims_sql('lineitem', 'part')}) SELECT * FROM (
@@ -193,7 +212,10 @@ SQL = {
       arg_min(factuality, ordinal) AS factuality, arg_min(status, ordinal) AS status, count(*) AS occurrences, max(confidence_milli) AS confidence_milli FROM claims GROUP BY subj_val, pred_val, obj_val""",
     "q_boolean_answer_status": f"""WITH claims AS ({claims_sql('orders')}) SELECT obj_val, CASE WHEN y AND n THEN 'Conflicting' WHEN y THEN 'Yes' WHEN n THEN 'No' ELSE 'Unknown' END AS answer_status
       FROM (SELECT obj_val, bool_or(status IN ('Supported', 'Contested', 'AttributedOnly')) AS y, bool_or(status IN ('Contradicted', 'NonFactual')) AS n FROM claims GROUP BY obj_val)""",
-    "q_answer_status": _with("customer") + f"SELECT object, {STATUS} AS answer_status, count(*) AS answers FROM rendered GROUP BY object",
+    "q_answer_status": _with("customer", "supplier") + """SELECT bundle_id, object, intent, CASE WHEN sum(evidence_count) = 0 THEN 'Unknown' WHEN intent = 'Count' THEN 'Exact' WHEN intent = 'Contradiction' AND count(*) > 1 THEN 'Conflicting' WHEN count(*) = 1 THEN 'Exact' ELSE 'Supported' END AS answer_status, count(*) AS answers
+      FROM rendered, (SELECT unnest(['Select', 'Count', 'Contradiction', 'Explain']) AS intent) GROUP BY bundle_id, object, intent""",
+    "q_boolean_answers": f"""WITH claims AS ({claims_sql('lineitem', 'orders', 'part')}) SELECT pred_val, obj_kind, obj_val, CASE WHEN y AND n THEN 'Conflicting' WHEN y THEN 'Yes' WHEN n THEN 'No' ELSE 'Unknown' END AS answer_status
+      FROM (SELECT pred_val, obj_kind, obj_val, bool_or(status IN ('Supported', 'Contested', 'AttributedOnly')) AS y, bool_or(status IN ('Contradicted', 'NonFactual')) AS n FROM claims GROUP BY ALL)""",
     "q_multi_bundle_merge": _with("customer", "supplier") + f"""SELECT object, CASE max(CASE answer_status WHEN 'Supported' THEN 2 WHEN 'Exact' THEN 1 ELSE 0 END) WHEN 2 THEN 'Supported' WHEN 1 THEN 'Exact' ELSE 'Unknown' END AS answer_status, sum(answers)::BIGINT AS answers
       FROM (SELECT bundle_id, object, {STATUS} AS answer_status, count(*) AS answers FROM rendered GROUP BY ALL) GROUP BY object""",
     "q_evidence_attach": _with("customer") + "SELECT claim AS claim_id, CASE WHEN cited IS NULL THEN '' ELSE array_to_string(list_sort(list_prepend(concat('claim:', claim), cited)), '|') END AS evidence, occurrences FROM rendered",
@@ -206,9 +228,11 @@ SQL = {
       SELECT selector, claim_id, rank::INT AS rank, total, total > 15 AS truncated FROM ranked WHERE rank > 5 AND rank <= 15""",
     "q_ambiguous_names": """SELECT bundle_id, name, meanings FROM (SELECT entity_kind AS bundle_id, lower(trim(alias)) AS name, count(DISTINCT lower(trim(canonical_name))) AS meanings
       FROM (SELECT *, unnest(list_distinct([canonical_name, split_part(canonical_name, ' ', 1)])) AS alias FROM entity_ref) GROUP BY ALL) WHERE meanings > 1""",
-    "q_entity_links": "SELECT DISTINCT mention_id, entity_id AS cluster_id FROM mention_resolution_profile m JOIN (SELECT lower(canonical_name) AS k, min(entity_id) AS entity_id FROM entity_ref GROUP BY 1) e ON lower(m.exact_surface) = e.k WHERE mention_id IS NOT NULL",
-    "q_frame_triples": """SELECT o_orderkey AS frame_id, 'c' || o_custkey AS subject, 'Destroys' AS pred_kind, '' AS predicate, o_orderstatus AS object FROM orders WHERE o_orderstatus = 'F'
-      UNION ALL SELECT o_orderkey, 'o' || o_orderkey, 'HasProperty', '', CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE o_orderpriority END FROM orders WHERE o_orderstatus = 'O'""",
+    "q_entity_links": """WITH m AS (SELECT * FROM mention_resolution_profile WHERE mention_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC NULLS LAST, exact_surface DESC NULLS LAST, normalized_surface DESC NULLS LAST) = 1),
+      n AS (SELECT lower(canonical_name) AS k, min(entity_id) AS low, max(entity_id) AS high FROM entity_ref GROUP BY 1)
+      SELECT mention_id, coalesce(b.high, a.low) AS cluster_id FROM m LEFT JOIN n a ON lower(m.exact_surface) = a.k LEFT JOIN n b ON m.normalized_surface = b.k WHERE coalesce(b.high, a.low) IS NOT NULL""",
+    "q_frame_triples": f"""WITH r AS (SELECT * FROM (VALUES {', '.join(str(r) for r in K.FRAME_RULES)}) AS r(frame_type, s_role, pred_kind, predicate, o_role)), o AS (SELECT *, ({FRAME_KINDS})[(o_custkey % {len(FRAME_KINDS)} + 1)::INT] AS frame_type FROM orders)
+      SELECT o_orderkey AS frame_id, lower(s_role) || ':' || o_orderkey AS subject, pred_kind, predicate, CASE WHEN frame_type = 'Statement' AND o_orderkey % 3 = 0 THEN o_custkey::VARCHAR ELSE lower(o_role) || ':' || o_orderkey END AS object FROM o JOIN r USING (frame_type) WHERE o_orderstatus <> 'P'""",
     "q_value_text": """SELECT p_partkey, CASE p_partkey % 6
         WHEN 0 THEN (CASE WHEN p_size % 2 = 0 AND p_size <> 0 THEN '-' ELSE '' END) || CASE WHEN p_size % 4 > 0 THEN left(d, (length(d) - p_size % 4)::INT) || '.' || right(d, (p_size % 4)::INT) ELSE d END
         WHEN 1 THEN concat(p_size, '..', p_size + 5) WHEN 2 THEN concat(p_size, ' kg')

@@ -103,9 +103,10 @@ def q_span_relations(spark, sf):
     return r.where(c[0].isNotNull() & c[1].isNotNull() & c[2].isNotNull() & c[3].isNotNull()).groupBy("bundle_id", segment.span_relation(*c).alias("relation")).agg(F.count("*").alias("ranges"))
 
 
-def q_assembled_turns(spark, sf):
-    rows = _turns(spark, sf).select(F.col("session_id").alias("doc_id"), "turn_id", F.when(F.col("parse_status") == "parsed", F.upper("input_text")).alias("made"), F.coalesce("input_text", F.lit("")).alias("src"))
-    return segment.assemble(rows, "turn_id", "made", "src")
+def q_assembled_documents(spark, sf):
+    """Every document put together again with its questions in capitals: blanks between sentences stay."""
+    raw = _documents(spark, sf).where("text IS NOT NULL").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.?!]*[.?!]|[^.?!]+\z"), F.lit(0))).alias("ordinal", "raw"))
+    return segment.assemble(raw.withColumn("made", F.when(F.endswith("raw", F.lit("?")), F.upper(F.regexp_replace("raw", r"^\s+|\s+\z", "")))), "ordinal", "made", "raw")
 
 
 def q_token_stats(spark, sf):
@@ -123,8 +124,10 @@ def q_multiset_recall(spark, sf):
 
 
 def q_alignment_ratio(spark, sf):
-    t = _turns(spark, sf).where("session_id IS NOT NULL AND turn_no IS NOT NULL").dropDuplicates(["session_id", "turn_no"])
-    return E.alignment(t.select("session_id", "turn_no", F.lit("x").alias("v")), t.where("parse_status = 'parsed'").select("session_id", "turn_no", F.lit("x").alias("v")), ["session_id"], "turn_no", "v")
+    """Sentences of the rule splitter against those of the simple one, place by place."""
+    docs = _documents(spark, sf).where("text IS NOT NULL")
+    side = lambda c: docs.select("doc_id", F.posexplode(c).alias("ordinal", "v"))
+    return E.alignment(side(segment.rule_sentences(F.col("text"))), side(segment.simple_sentences(F.col("text"))), ["doc_id"], "ordinal", "v")
 
 
 def q_context_window(spark, sf):
@@ -219,11 +222,7 @@ def _relations(spark, sf):
 
 
 def q_temporal_closure(spark, sf):
-    """The Before half alone, as its SQL has it; q_temporal_closure_both closes all links."""
-    return T.before_closure(_relations(spark, sf).where("relation = 'Before'"))
-
-
-def q_temporal_closure_both(spark, sf):
+    """All links with both relations: what is marked After is turned round."""
     return T.before_closure(_relations(spark, sf))
 
 
@@ -245,10 +244,14 @@ def q_role_violations(spark, sf):
 
 
 def q_temporal_normalize(spark, sf):
-    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm'Z'")
-    p = T.iso_parts(iso)
-    kind = T.expression_kind(iso)
-    return table(spark, sf, "orders").select("o_orderkey", p.year.alias("year"), p.month.alias("month"), p.day.alias("day"), p.hour.alias("hour"), p.offset_minutes.alias("offset_minutes"), kind.alias("kind"), T.time_relation(kind, F.lit(1)).alias("relation"))
+    """Order dates written as times with and without a zone, dates, durations, frequencies, deictic and other words."""
+    day, clock = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm")
+    n = F.dayofmonth("o_orderdate").cast("string")
+    forms = [F.concat(clock, F.lit("+02:30")), day, F.concat(clock, F.lit("Z")), F.concat(F.lit("for "), n, F.lit(" days")), F.concat(F.lit("Every "), n, F.lit(" days")), F.lit("Yesterday"), F.concat(F.lit("the flood of "), n), F.concat(clock, F.lit("-11:00")), F.date_format("o_orderdate", "yyyy-MM")]
+    orders = table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.dayofyear("o_orderdate") % len(forms) + 1).cast("int")).alias("text"))
+    p, kind = T.iso_parts(F.col("text")), T.expression_kind(F.col("text"))
+    days = F.coalesce(lexicon.relative_days(F.lower("text")), F.lit(0))
+    return orders.select("o_orderkey", p.year.alias("year"), p.month.alias("month"), p.day.alias("day"), p.hour.alias("hour"), p.offset_minutes.alias("offset_minutes"), kind.alias("kind"), T.time_relation(kind, days).alias("relation"))
 
 
 def q_event_groups(spark, sf):
@@ -274,7 +277,7 @@ def q_coref_components(spark, sf):
 
 
 def q_topic_carry_forward(spark, sf):
-    return _turns(spark, sf).where("session_id IS NOT NULL").select("turn_id", G.carry_forward(None, "session_id", "turn_id", "predicate").alias("topic"))
+    return _turns(spark, sf).where("session_id IS NOT NULL").transform(lambda t: G.carry_forward(t, "session_id", "turn_id", "predicate", "topic")).select("turn_id", "topic")
 
 
 def q_cross_turn_coref(spark, sf):
@@ -286,12 +289,6 @@ def q_recent_entities(spark, sf):
 
 
 def q_run_compare(spark, sf):
-    base = table(spark, sf, "orders").selectExpr("o_custkey % 997 AS case_id", "o_orderpriority AS metric", "o_totalprice AS v").groupBy("case_id", "metric").agg(F.count("*").cast("double").alias("value"))
-    run = table(spark, sf, "orders").where("o_orderstatus <> 'P' AND o_custkey % 5 > 0").selectExpr("o_custkey % 997 + 1 AS case_id", "o_orderpriority AS metric").groupBy("case_id", "metric").agg(F.count("*").cast("double").alias("value"))
-    return E.compare_runs(base, run)
-
-
-def q_run_compare_customers(spark, sf):
     """Every customer a case, every order in one of two runs: before 1998 (or undated) and since."""
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("metric"), F.coalesce(F.year("o_orderdate") >= 1998, F.lit(False)).alias("late"))
     run = lambda late: rows.where(F.col("late") == late).groupBy("case_id", "metric").agg(F.count("*").cast("double").alias("value"))
@@ -349,10 +346,25 @@ def q_question_semantics(spark, sf):
     return _turns(spark, sf).select("turn_id", q.kind.alias("kind"), q.predicate.alias("predicate")).where("kind IS NOT NULL")
 
 
+MORPH_RULES = [("add", "AddSuffix", "s", None), ("cut", "Truncate", "2", None), ("head", "Prefix", "the-", None), ("swap", "ReplaceSuffix", "y", "ies"), ("soft", "ConsonantAlternate", "k", "c"), ("twice", "DoubleFinalConsonant", "ed", None)]
+
+
 def q_morph_rules(spark, sf):
-    stems = table(spark, sf, "part").selectExpr("p_brand AS stem", "CASE WHEN p_size % 2 = 0 THEN 'plural' ELSE 'singular' END AS n").distinct().selectExpr("stem", "map('number', n) AS features")
-    rules = spark.createDataFrame([(1, {"number": "plural"}, "AddSuffix", "s", None), (2, {}, "Prefix", "the-", None)], "rule_ord int, conditions map<string,string>, operation string, a string, b string")
-    return lexicon.apply_rules(stems, rules).select("stem", F.element_at("features", "number").alias("number"), "surface")
+    """Every distinct word of the part names under each operation, and under none; rule 7 would add a second suffix but comes too late."""
+    stems = table(spark, sf, "part").select(F.explode(lexicon.words(F.col("p_name"))).alias("stem")).distinct()
+    every = stems.select("stem", F.explode(F.array(*[F.lit(k) for k, *_ in MORPH_RULES], F.lit("none"))).alias("form"))
+    rules = [(n, {"form": k}, op, a, b) for n, (k, op, a, b) in enumerate(MORPH_RULES, 1)] + [(7, {"form": "add"}, "AddSuffix", "x", None)]
+    rules = spark.createDataFrame(rules, "rule_ord int, conditions map<string,string>, operation string, a string, b string")
+    return lexicon.apply_rules(every.select("stem", F.create_map(F.lit("form"), "form").alias("features")), rules).select("stem", F.element_at("features", "form").alias("form"), "surface")
+
+
+def q_suffix_analysis(spark, sf):
+    """Stems and features of all distinct tokens by suffix rules of one to six letters."""
+    rules = spark.createDataFrame(SUFFIXES, "suffix string, restore string, feature string")
+    return lexicon.analyse(lexicon.token_rows(_documents(spark, sf)).select(F.col("token").alias("surface")).distinct(), rules)
+
+
+SUFFIXES = [("s", None, "plural"), ("ed", None, "past"), ("ies", "y", "plural"), ("ing", None, "progressive"), ("ation", "e", "noun"), ("owości", None, "locative"), ("ów", None, "genitive")]
 
 
 QUERIES = [v for k, v in list(globals().items()) if k.startswith("q_")]
@@ -405,17 +417,20 @@ SQL = {
     "q_sentence_simple_split": f"WITH {SENTENCES} SELECT doc_id, ordinal::INT AS ordinal, sentence FROM sentences",
     "q_text_counts": r"SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x, ' ') <> '')) AS paragraphs, len(list_filter(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x, ' ') <> '')) AS sentences FROM documents WHERE text IS NOT NULL",
     "q_offset_lines": f"""WITH {LINES}, asked AS (SELECT DISTINCT doc_id, content_span.start_byte AS offset_ FROM sentence_range WHERE doc_id IS NOT NULL AND content_span.start_byte IS NOT NULL)
-      SELECT a.doc_id, a.offset_ AS "offset", (l.line_no + 1)::INT AS line, a.offset_ - l.start_byte + 1 AS byte_column FROM asked a ASOF LEFT JOIN lines l ON a.doc_id = l.doc_id AND a.offset_ >= l.start_byte""",
+      SELECT doc_id, "offset", line_no AS line, len(list_filter(range(1, length(text) + 1), lambda i: strlen(left(text, i - 1)) < size)) + greatest(size - strlen(text), 0) + 1 AS char_column
+      FROM (SELECT a.doc_id, a.offset_ AS "offset", (l.line_no + 1)::INT AS line_no, l.line AS text, a.offset_ - l.start_byte AS size FROM asked a ASOF LEFT JOIN lines l ON a.doc_id = l.doc_id AND a.offset_ >= l.start_byte)""",
     "q_span_relations": """SELECT bundle_id, CASE WHEN a = c AND b = d THEN 'equal' WHEN a <= c AND d <= b THEN 'contains' WHEN c <= a AND b <= d THEN 'inside' WHEN a < d AND c < b THEN 'overlaps' ELSE 'apart' END AS relation, count(*) AS ranges
       FROM (SELECT bundle_id, raw_span.start_byte AS a, raw_span.end_byte AS b, content_span.start_byte AS c, content_span.end_byte AS d FROM sentence_range) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL GROUP BY ALL""",
-    "q_assembled_turns": f"WITH {TURNS} SELECT session_id AS doc_id, string_agg(coalesce(CASE WHEN parse_status = 'parsed' THEN upper(input_text) END, input_text, ''), ' ' ORDER BY turn_id) AS text FROM turns GROUP BY session_id",
+    "q_assembled_documents": r"""WITH r AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^.?!]*[.?!]|[^.?!]+$') AS p FROM documents WHERE text IS NOT NULL))
+      SELECT doc_id, string_agg(CASE WHEN suffix(raw, '?') THEN regexp_extract(raw, '^[ \t\n\r\f\v]*') || upper(regexp_replace(raw, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) ELSE raw END, '' ORDER BY k) AS text FROM r GROUP BY doc_id""",
     "q_token_stats": f"WITH {TOKENS} SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM tokens GROUP BY token",
     "q_token_overlap": f"SELECT doc_id, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a, b)) / len(a), 6) END AS overlap FROM (SELECT doc_id, list_distinct({WORDS.format('title')}) AS a, {WORDS.format('text')} AS b FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)",
     "q_multiset_recall": f"""WITH d AS (SELECT doc_id, {WORDS.format('title')} AS a, {WORDS.format('text')} AS b FROM documents WHERE title IS NOT NULL AND text IS NOT NULL),
       want AS (SELECT doc_id, t, count(*) AS w FROM (SELECT doc_id, unnest(a) AS t FROM d) GROUP BY ALL), have AS (SELECT doc_id, t, count(*) AS h FROM (SELECT doc_id, unnest(b) AS t FROM d) GROUP BY ALL)
       SELECT doc_id, sum(least(w, coalesce(h, 0)))::BIGINT AS matched, sum(w)::BIGINT AS expected, round(sum(least(w, coalesce(h, 0))) / sum(w), 6) AS recall FROM want LEFT JOIN have USING (doc_id, t) GROUP BY doc_id""",
-    "q_alignment_ratio": f"""WITH {TURNS} SELECT session_id, count(*) AS left_n, sum(p) ::BIGINT AS right_n, sum(p)::BIGINT AS same, round(sum(p) / count(*), 6) AS ratio, CASE WHEN count(*) = sum(p) THEN 'Exact' ELSE 'Approximate' END AS status
-      FROM (SELECT session_id, turn_no, max((coalesce(parse_status, '') = 'parsed')::INT) AS p FROM turns WHERE session_id IS NOT NULL AND turn_no IS NOT NULL GROUP BY ALL) GROUP BY session_id""",
+    "q_alignment_ratio": f"""WITH s AS (SELECT doc_id, {_rules_sql()} AS a, {SIMPLE.format('text')} AS b FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, len(a) AS left_n, len(b) AS right_n, n AS same, round(n / greatest(len(a), len(b)), 6) AS ratio, CASE WHEN len(a) = len(b) THEN 'Exact' ELSE 'Approximate' END AS status
+      FROM (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i])) AS n FROM s) WHERE len(a) > 0 OR len(b) > 0""",
     "q_context_window": f"WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, (k - 1)::INT AS position, array_to_string(w[greatest(k - 3, 1):k + 3], ' ') AS context FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) WHERE w[k] = 'ferry'",
     "q_multiword_lookup": f"""WITH {LEX}, d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS form FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d), (VALUES (1), (2), (3)) AS s(n) WHERE k + n - 1 <= len(w)),
       hit AS (SELECT doc_id, k, n, form, lemma FROM g JOIN lex USING (form) QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY n DESC) = 1) SELECT form, lemma, count(*) AS uses FROM hit GROUP BY ALL""",
@@ -439,12 +454,14 @@ SQL = {
     "q_graph_neighbors": f"WITH {GRAPH} SELECT node_id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT src AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node_id",
     "q_dangling_edges": "SELECT DISTINCT mention_id::VARCHAR AS src, concept AS dst, 'dst' AS missing FROM mention_resolution_profile WHERE mention_id IS NOT NULL AND concept IS NOT NULL AND concept NOT IN (SELECT id FROM ontology_entry WHERE id IS NOT NULL)",
     "q_ontology_closure": f"WITH RECURSIVE {GRAPH}, closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON c.dst = e.src) SELECT DISTINCT src, dst FROM closed",
-    "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'odd AS (SELECT * FROM steps WHERE ascii(src) % 2 = 1), closed AS').replace('FROM steps UNION', 'FROM odd UNION').replace('JOIN steps s', 'JOIN odd s')} SELECT DISTINCT src, dst FROM closed",
-    "q_temporal_closure_both": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
+    "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
     "q_temporal_conflicts": f"WITH RECURSIVE {ONTOLOGY} SELECT DISTINCT a.src, a.dst FROM closed a JOIN closed b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst",
     "q_role_violations": """SELECT id, array_to_string(list_sort(list_intersect(list_distinct(allowed_roles), ['Agent', 'Experiencer', 'Recipient'])), ',') AS violations FROM (SELECT * FROM ontology_entry WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC NULLS LAST, ingested_at DESC NULLS LAST) = 1)
       WHERE features.animacy = 'Inanimate' AND list_has_any(allowed_roles, ['Agent', 'Experiencer', 'Recipient'])""",
-    "q_temporal_normalize": "SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day, hour(o_orderdate)::INT AS hour, 0 AS offset_minutes, 'Absolute' AS kind, 'Simultaneous' AS relation FROM orders",
+    "q_temporal_normalize": """WITH k AS (SELECT o_orderkey, o_orderdate AS d, dayofyear(o_orderdate) % 9 AS k FROM orders)
+      SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 7, 8) THEN year(d) END::INT AS year, CASE WHEN k IN (0, 1, 2, 7, 8) THEN month(d) END::INT AS month, CASE WHEN k IN (0, 1, 2, 7) THEN day(d) END::INT AS day, CASE WHEN k IN (0, 2, 7) THEN hour(d) END::INT AS hour,
+        CASE k WHEN 0 THEN 150 WHEN 2 THEN 0 WHEN 7 THEN -660 END::INT AS offset_minutes, CASE WHEN k IN (0, 1, 2, 7, 8) THEN 'Absolute' WHEN k = 3 THEN 'Duration' WHEN k = 4 THEN 'Frequency' WHEN k = 5 THEN 'Deictic' ELSE 'Symbolic' END AS kind,
+        CASE k WHEN 3 THEN 'Overlaps' WHEN 5 THEN 'Before' ELSE 'Simultaneous' END AS relation FROM k""",
     "q_event_groups": "SELECT min(event_id) AS cluster, count(*) AS events FROM events GROUP BY coalesce(user_id::VARCHAR, '#' || event_id), coalesce(event_type, '#' || event_id)",
     "q_pair_score": f"WITH {PAIRS} SELECT * FROM pairs",
     "q_resolution_decision": f"""WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mention_id ORDER BY score DESC, target_id) AS k FROM pairs), b AS (SELECT doc_id, mention_id, max(CASE WHEN k = 1 THEN target_id END) AS target_id, max(CASE WHEN k = 1 THEN score END) AS score, max(CASE WHEN k = 2 THEN score END) AS second, count(*) AS alternatives FROM k WHERE k <= 16 GROUP BY ALL)
@@ -453,10 +470,7 @@ SQL = {
     "q_topic_carry_forward": f"WITH {TURNS} SELECT turn_id, last_value(predicate IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM turns WHERE session_id IS NOT NULL",
     "q_cross_turn_coref": f"WITH {TURNS} SELECT * FROM (SELECT session_id, turn_id, predicate, lag(turn_id) OVER (PARTITION BY session_id, predicate ORDER BY turn_id) AS antecedent FROM turns WHERE session_id IS NOT NULL AND predicate IS NOT NULL) WHERE antecedent IS NOT NULL",
     "q_recent_entities": f"WITH {TURNS} SELECT session_id, turn_id, predicate, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC)::INT AS recency FROM turns WHERE session_id IS NOT NULL AND predicate IS NOT NULL QUALIFY recency <= 3",
-    "q_run_compare": """WITH a AS (SELECT o_custkey % 997 AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders GROUP BY ALL), b AS (SELECT o_custkey % 997 + 1 AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 5 > 0 GROUP BY ALL),
-      p AS (SELECT case_id, count(a.v) AS x, count(b.v) AS y, coalesce(bool_or(b.v - a.v > 1e-9), false) AS up, coalesce(bool_or(b.v - a.v < -1e-9), false) AS down FROM a FULL JOIN b USING (case_id, metric) GROUP BY case_id)
-      SELECT *, outcome IN ('Regressed', 'Missing') AS critical FROM (SELECT case_id, CASE WHEN x = 0 THEN 'Added' WHEN y = 0 THEN 'Missing' WHEN up AND NOT down THEN 'Improved' WHEN down AND NOT up THEN 'Regressed' ELSE 'Unchanged' END AS outcome, up AND down AS mixed FROM p)""",
-    "q_run_compare_customers": """WITH a AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE NOT coalesce(year(o_orderdate) >= 1998, false) GROUP BY ALL), b AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY ALL),
+    "q_run_compare": """WITH a AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE NOT coalesce(year(o_orderdate) >= 1998, false) GROUP BY ALL), b AS (SELECT o_custkey AS case_id, o_orderpriority AS metric, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY ALL),
       p AS (SELECT case_id, count(a.v) AS x, count(b.v) AS y, coalesce(bool_or(b.v - a.v > 1e-9), false) AS up, coalesce(bool_or(b.v - a.v < -1e-9), false) AS down FROM a FULL JOIN b USING (case_id, metric) GROUP BY case_id)
       SELECT *, outcome IN ('Regressed', 'Missing') AS critical FROM (SELECT case_id, CASE WHEN x = 0 THEN 'Added' WHEN y = 0 THEN 'Missing' WHEN up AND NOT down THEN 'Improved' WHEN down AND NOT up THEN 'Regressed' ELSE 'Unchanged' END AS outcome, up AND down AS mixed FROM p)""",
     "q_glossary_compliance": f"""WITH {TOKENS}, u AS (SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM tokens GROUP BY token), t AS (SELECT * FROM (VALUES {', '.join(f"({a}, '{b}', {c}, {d})" for a, b, c, d in TERMS)}) AS t(term_id, form, forbidden, minimum))
@@ -477,7 +491,11 @@ SQL = {
     "q_new_words": f"WITH {LEX}, {TOKENS} SELECT token AS word, min(doc_id) AS first_doc, count(*) AS uses FROM tokens WHERE strlen(token) > 2 AND regexp_matches(token, '^[\\p{{L}}\\p{{N}}]+$') AND token NOT IN (SELECT form FROM lex) GROUP BY token",
     "q_frame_templates": f"WITH {SENTENCES}, f AS (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(sentence, '{p}') THEN '{k}'" for p, k, _ in P.TEMPLATES) + " END AS frame_type FROM sentences) SELECT frame_type, count(*) AS frames, count(DISTINCT doc_id) AS documents FROM f WHERE frame_type IS NOT NULL GROUP BY frame_type",
     "q_question_semantics": f"WITH {TURNS}, q AS (SELECT turn_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for p, k, _ in P.QUESTIONS) + " END AS kind, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{x}'" for p, _, x in P.QUESTIONS) + " END AS predicate FROM (SELECT turn_id, lower(trim(input_text, ' ')) AS t FROM turns) WHERE contains(t, '?')) SELECT * FROM q WHERE kind IS NOT NULL",
-    "q_morph_rules": "SELECT DISTINCT p_brand AS stem, CASE WHEN p_size % 2 = 0 THEN 'plural' ELSE 'singular' END AS number, CASE WHEN p_size % 2 = 0 THEN p_brand || 's' ELSE 'the-' || p_brand END AS surface FROM part",
+    "q_morph_rules": f"""WITH s AS (SELECT DISTINCT unnest({WORDS.format('p_name')}) AS stem FROM part)
+      SELECT stem, form, CASE form WHEN 'add' THEN stem || 's' WHEN 'cut' THEN left(stem, greatest(length(stem) - 2, 0)) WHEN 'head' THEN 'the-' || stem WHEN 'swap' THEN regexp_replace(stem, 'y$', 'ies') WHEN 'soft' THEN regexp_replace(stem, 'k$', 'c') WHEN 'twice' THEN stem || right(stem, 1) || 'ed' ELSE stem END AS surface
+      FROM s, (SELECT unnest(['add', 'cut', 'head', 'swap', 'soft', 'twice', 'none']) AS form)""",
+    "q_suffix_analysis": f"""WITH {TOKENS}, t AS (SELECT DISTINCT token AS surface FROM tokens), r AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b or ''}', '{c}')" for a, b, c in SUFFIXES)}) AS r(suffix, restore, feature))
+      SELECT surface, left(surface, length(surface) - length(suffix)) || restore AS stem, feature FROM t JOIN r ON suffix(surface, r.suffix) WHERE length(surface) > length(r.suffix)""",
     "q_feature_inheritance": r"""WITH RECURSIVE """ + ONTOLOGY.split(",\n  steps")[0].replace("SELECT id, parent FROM (", "SELECT id, parent, animacy FROM (").replace("revision, ingested_at FROM ontology_entry", "revision, ingested_at, features.animacy AS animacy FROM ontology_entry") + """,
       walk AS (SELECT id, id AS here, 0::BIGINT AS distance FROM links UNION SELECT w.id, l.parent, w.distance + 1 FROM walk w JOIN links l ON l.id = w.here JOIN links p ON p.id = l.parent WHERE w.distance < 1000),
       looped AS (SELECT DISTINCT id FROM walk WHERE distance >= 1000)

@@ -6,7 +6,7 @@ import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Hard limits per document.
@@ -79,7 +79,9 @@ def quarantine(root: str) -> str:
 
 def numbered_trace(events: DataFrame) -> DataFrame:
     """Events of each run numbered from 1 by time, to be appended as JSON."""
-    return events.withColumn("sequence", F.row_number().over(Window.partitionBy("run_id").orderBy("recorded_at", "event_id")))
+    from lorekiln.operators.ordered import numbered
+
+    return numbered(events, ["run_id"], "recorded_at", "event_id", "sequence")
 
 
 def write_report(df: DataFrame, path: str, kind: str) -> None:

@@ -122,12 +122,50 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
 def test_temporal_closure_of_both_relations(spark, tmp_path):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "b")]
     spark.createDataFrame([(i, p, 1, None) for i, p in rows], "id string, parent string, revision int, ingested_at timestamp").write.parquet(str(tmp_path / "ontology_entry.parquet"))
-    got = {tuple(r) for r in queries()["q_temporal_closure_both"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in queries()["q_temporal_closure"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"), ("b", "d"), ("a", "d"), ("c", "b"), ("c", "d")}  # b and d are After links
 
 
 def test_run_compare_keeps_every_customer(spark, tmp_path):
     rows = [(5, "1-URGENT", "1997-12-31"), (5, "1-URGENT", "1998-01-01"), (5, "1-URGENT", "1999-01-01"), (10, "2-HIGH", "1993-01-01"), (1002, "2-HIGH", "2001-01-01"), (15, "2-HIGH", None)]
     spark.createDataFrame(rows, "o_custkey bigint, o_orderpriority string, d string").selectExpr("*", "cast(d AS timestamp) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {r.case_id: r.outcome for r in queries()["q_run_compare_customers"](spark, str(tmp_path)).collect()}
+    got = {r.case_id: r.outcome for r in queries()["q_run_compare"](spark, str(tmp_path)).collect()}
     assert got == {5: "Improved", 10: "Missing", 1002: "Added", 15: "Missing"}
+
+
+def test_lines_keep_any_character(spark):
+    docs = texts(spark, "a\x00b\r\n\x01c\rd\n", "", "x\n\ny")
+    got = [(r.doc_id, r.line, r.start_byte, r.end_byte, r.full_end) for r in segment.lines(docs).orderBy("doc_id", "line_no").collect()]
+    assert got == [(0, "a\x00b", 0, 3, 5), (0, "\x01c", 5, 7, 8), (0, "d", 8, 9, 10), (0, "", 10, 10, 10), (1, "", 0, 0, 0), (2, "x", 0, 1, 2), (2, "", 2, 2, 3), (2, "y", 3, 4, 4)]
+
+
+def test_line_and_column_in_characters(spark):
+    docs = texts(spark, "żó\nłab c")
+    asked = spark.createDataFrame([(0, o) for o in (0, 2, 4, 5, 7, 8, 1, 40)], "doc_id bigint, offset bigint")
+    got = {r.offset: (r.line, r.char_column) for r in segment.line_of_offset(asked, segment.lines(docs)).collect()}
+    assert got == {0: (1, 1), 1: (1, 2), 2: (1, 2), 4: (1, 3), 5: (2, 1), 7: (2, 2), 8: (2, 3), 40: (2, 35)}
+
+
+def test_assemble_keeps_blanks(spark):
+    rows = [(0, 1, " One. ", None), (0, 2, "Two?\n\n", "DWA?"), (0, 3, "\tThree", "TRZY"), (1, 1, "  ", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, k int, raw string, made string")
+    assert {r.doc_id: r.text for r in segment.assemble(df, "k", "made", "raw").collect()} == {0: " One. DWA?\n\n\tTRZY", 1: "  "}
+
+
+def test_ordered_state_equals_windows(spark):
+    """Hot group, null group, null values: ranges of the order give what one window per group gives."""
+    from pyspark.sql import Window
+
+    from lorekiln.operators import ordered
+
+    random.seed(5)
+    rows = [(random.choice(["hot", "hot", "hot", "a", "b", None]), k, random.choice([None, None, "x", "y"])) for k in random.sample(range(5000), 900)]
+    df = spark.createDataFrame(rows, "g string, k bigint, v string")
+    w = Window.partitionBy("g").orderBy("k")
+    want = df.select("g", "k", F.lag("k").over(w).alias("p"), F.lead("k").over(w).alias("n"), F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"), F.row_number().over(w).alias("r"))
+    by = {r.k: r for r in want.collect()}
+    assert {(r.k, r.previous, r.next) for r in ordered.neighbours_in_order(df, ["g"], "k").collect()} == {(k, r.p, r.n) for k, r in by.items()}
+    assert {(r.k, r.c) for r in ordered.carried(df, ["g"], "k", "v", "c").collect()} == {(k, r.c) for k, r in by.items()}
+    assert {(r.k, r.r) for r in ordered.numbered(df, ["g"], "k", "v", "r").collect()} == {(k, r.r) for k, r in by.items()}
+    assert ordered.newest(df, ["g"], "k", 3).count() == 12
+    assert ordered.neighbours_in_order(df.limit(0), ["g"], "k").count() == 0
