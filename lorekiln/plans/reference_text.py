@@ -45,13 +45,22 @@ TURNS = "turns AS (SELECT * FROM debug_turn_context WHERE turn_id IS NOT NULL QU
 
 
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = current_rows(table(spark, sf, "mention_resolution_profile"), "mention_id", ["ingested_at"], ["doc_id", "source_sentence_ordinal", "exact_surface", "concept", "is_subject_like", "is_proper_name"])
-    return rows.where("doc_id IS NOT NULL AND source_sentence_ordinal IS NOT NULL").select(
-        "doc_id", "mention_id", F.col("mention_id").alias("position"), F.col("source_sentence_ordinal").alias("sentence"), F.floor(F.col("source_sentence_ordinal") / 4).cast("int").alias("paragraph"), "concept",
-        F.col("exact_surface").alias("surface"), resolve.source_form(F.col("exact_surface"), F.coalesce("is_proper_name", F.lit(False))).alias("form"), F.coalesce("is_subject_like", F.lit(False)).alias("subject_like"), F.lit(None).cast("string").alias("entity_id"),
+    """Profiles of the current mentions. Four sentences stand for a paragraph, names and pronouns are persons; the id is that of the entity whose name the surface is."""
+    kept = ["doc_id", "source_sentence_ordinal", "mention_kind", "source_form", "exact_surface", "normalized_surface", "concept", "role_context", "is_proper_name", "is_pronoun"]
+    rows = current_rows(table(spark, sf, "mention_resolution_profile"), "mention_id", ["ingested_at"], kept).where("doc_id IS NOT NULL AND source_sentence_ordinal IS NOT NULL")
+    ids = table(spark, sf, "entity_ref").groupBy(F.col("canonical_name").alias("exact_surface")).agg(F.min("entity_id").alias("entity_id"))
+    at, surface = F.col("source_sentence_ordinal"), F.col("normalized_surface")
+    return rows.join(ids, "exact_surface", "left").select(
+        "doc_id", "mention_id", at.alias("sentence"), F.floor(at / 4).cast("int").alias("paragraph"), (at % 4).alias("place"), F.when(F.coalesce("is_proper_name", F.lit(False)) | F.coalesce("is_pronoun", F.lit(False)), "PERSON").otherwise(F.col("concept")).alias("concept"), surface.alias("surface"),
+        resolve.source_form(F.col("mention_kind"), surface, F.col("source_form")).alias("form"), F.coalesce(F.col("role_context").isin(resolve.SUBJECT_ROLES), F.lit(False)).alias("subject_like"), "entity_id",
+        resolve.pronoun_gender(surface).alias("gender"), resolve.pronoun_number(surface).alias("number"),
     )
 
 
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.resolve(_mentions(spark, sf), ["gender", "number"])
+
+
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).where("text IS NOT NULL").select("doc_id", F.posexplode(segment.simple_sentences(F.col("text"))).alias("ordinal", "sentence"))
 
@@ -259,20 +268,37 @@ def q_event_groups(spark, sf):
 
 
 def q_pair_score(spark, sf):
-    return resolve.candidate_pairs(_mentions(spark, sf))
+    return resolve.alternatives(_resolved(spark, sf))
 
 
 def q_resolution_decision(spark, sf):
-    m = _mentions(spark, sf)
-    return resolve.decisions(m, resolve.candidate_pairs(m))
+    return _resolved(spark, sf).select("doc_id", "mention_id", "form", "decision", "target_id", "score", "cluster_no", F.size("alternatives").alias("alternatives"), resolve.confidence().alias("confidence_milli"))
+
+
+def q_resolution_clusters(spark, sf):
+    return resolve.clusters(_resolved(spark, sf))
+
+
+def q_resolution_summary(spark, sf):
+    return resolve.resolution_summary(_resolved(spark, sf))
+
+
+def q_resolution_errors(spark, sf):
+    """Errors of the resolution against all delivered mentions, current or not: those without a place have no decision."""
+    delivered = table(spark, sf, "mention_resolution_profile").where("mention_id IS NOT NULL").select("doc_id", "mention_id")
+    return resolve.resolution_errors(delivered, _resolved(spark, sf))
 
 
-def q_greedy_clusters(spark, sf):
-    return resolve.greedy_clusters(q_resolution_decision(spark, sf))
+def q_named_clusters(spark, sf):
+    """Every entity of the reference list with the clusters that bear its name."""
+    names = table(spark, sf, "entity_ref").select("entity_id", F.lower("canonical_name").alias("name"))
+    found = resolve.clusters(_resolved(spark, sf)).join(names, F.col("canonical_name") == F.col("name"))
+    return found.groupBy("entity_id").agg(F.count("*").alias("clusters"), F.sum("mentions").alias("mentions"))
 
 
 def q_coref_components(spark, sf):
-    d = q_resolution_decision(spark, sf).where("decision = 'Accepted'").selectExpr("mention_id AS src", "target_id AS dst")
+    """Mentions joined by accepted links: what the clusters must be."""
+    d = _resolved(spark, sf).where("target_id IS NOT NULL").selectExpr("mention_id AS src", "target_id AS dst")
     return G.components(d)
 
 
@@ -369,15 +395,42 @@ SUFFIXES = [("s", None, "plural"), ("ed", None, "past"), ("ies", "y", "plural"),
 
 QUERIES = [v for k, v in list(globals().items()) if k.startswith("q_")]
 
-PRONOUN_LIST = ", ".join(f"'{x}'" for x in resolve.PRONOUNS)
-REFLEXIVE_LIST = ", ".join(f"'{x}'" for x in resolve.REFLEXIVES)
-PAIRS = f"""m AS (SELECT doc_id, mention_id, source_sentence_ordinal AS sentence, source_sentence_ordinal // 4 AS paragraph, concept, exact_surface AS surface, coalesce(is_subject_like, false) AS subj,
-    CASE WHEN exact_surface IS NULL OR lower(trim(exact_surface)) = '' THEN 'Empty' WHEN lower(trim(exact_surface)) IN ({REFLEXIVE_LIST}) THEN 'Reflexive' WHEN lower(trim(exact_surface)) IN ({PRONOUN_LIST}) THEN 'Pronoun' WHEN coalesce(is_proper_name, false) THEN 'ProperName' ELSE 'CommonNoun' END AS form
-    FROM (SELECT * FROM mention_resolution_profile WHERE mention_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC NULLS LAST) = 1) WHERE doc_id IS NOT NULL AND source_sentence_ordinal IS NOT NULL),
-  pairs AS (SELECT l.doc_id, l.mention_id, r.mention_id AS target_id, (-35 * (l.sentence - r.sentence) + CASE WHEN lower(l.surface) = lower(r.surface) THEN 850 ELSE 0 END + 260 + 120 + CASE WHEN l.paragraph = r.paragraph THEN 100 ELSE 0 END
-      + CASE WHEN l.subj AND r.subj THEN 220 ELSE 0 END + CASE WHEN 'Pronoun' IN (l.form, r.form) THEN 180 ELSE 0 END + CASE WHEN 'Reflexive' IN (l.form, r.form) THEN 1200 ELSE 0 END + CASE WHEN 'ProperName' IN (l.form, r.form) THEN 200 ELSE 0 END)::INT AS score
-    FROM m l JOIN m r ON l.doc_id = r.doc_id AND l.concept = r.concept AND r.mention_id < l.mention_id AND l.sentence >= r.sentence AND l.sentence - r.sentence <= 6 AND abs(l.paragraph - r.paragraph) <= 1
-    WHERE l.form NOT IN ('Empty', 'CommonNoun') AND r.form <> 'Empty' AND (l.form <> 'Reflexive' OR l.sentence = r.sentence))"""
+def _in(column: str, words: list[str]) -> str:
+    return f"{column} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _points(name: str, test: str) -> str:
+    return f"CASE WHEN {test} THEN {resolve.POINTS[name]} ELSE 0 END"
+
+
+IS_PRONOUN = "{0}.form IN ('Pronoun', 'ReflexivePronoun', 'PossessivePronoun')"
+#: The sequential decisions as a recursion over the mentions of all documents at once, the accepted ones in a list.
+RESOLVED = f"""RECURSIVE m AS (
+    SELECT doc_id, mention_id, source_sentence_ordinal AS sentence, source_sentence_ordinal // 4 AS paragraph, source_sentence_ordinal % 4 AS place, CASE WHEN coalesce(is_proper_name, false) OR coalesce(is_pronoun, false) THEN 'PERSON' ELSE coalesce(concept, chr(0)) END AS concept, normalized_surface AS surface, entity_id,
+      coalesce({_in('role_context', resolve.SUBJECT_ROLES)}, false) AS subj, CASE {' '.join(f"WHEN {_in('w', v)} THEN '{k}'" for k, v in resolve.GENDERS.items())} END AS gender,
+      CASE WHEN {_in('w', resolve.PLURALS)} THEN 'Plural' WHEN {_in('w', sum(resolve.GENDERS.values(), []))} THEN 'Singular' END AS number,
+      CASE WHEN mention_kind = 'Modifier' THEN 'Modifier' WHEN mention_kind = 'CoordinationGroup' THEN 'Group' WHEN source_form = 'Generic' THEN 'Generic' WHEN {_in('w', resolve.REFLEXIVES)} THEN 'ReflexivePronoun' WHEN {_in('w', resolve.PRONOUNS)} THEN 'Pronoun'
+        WHEN {_in('w', resolve.POSSESSIVES)} THEN 'PossessivePronoun' WHEN {_in('w', resolve.DEMONSTRATIVES)} THEN 'DemonstrativeDescription' WHEN source_form <> '' THEN source_form WHEN w <> '' AND NOT contains(w, ' ') THEN 'ProperName' ELSE 'Unknown' END AS form
+    FROM (SELECT *, lower(trim(normalized_surface)) AS w FROM mention_resolution_profile WHERE mention_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC NULLS LAST) = 1) p
+    LEFT JOIN (SELECT canonical_name, min(entity_id) AS entity_id FROM entity_ref GROUP BY 1) e ON e.canonical_name = p.exact_surface WHERE doc_id IS NOT NULL AND source_sentence_ordinal IS NOT NULL
+  ), docs AS (SELECT doc_id, list(m ORDER BY sentence, mention_id) AS ms FROM m GROUP BY doc_id),
+  walk AS (
+    SELECT doc_id, 0 AS k, ms, ms[1:0] AS accepted, NULL::BIGINT AS mention_id, NULL::VARCHAR AS decision, NULL::BIGINT AS target_id, 0 AS score, ms[1:0] AS scored_ms, [0][1:0] AS scores FROM docs
+    UNION ALL
+    SELECT doc_id, k + 1, ms, CASE WHEN decision IN ('Seeded', 'Accepted', 'HardAccepted') THEN list_append(accepted, c) ELSE accepted END, c.mention_id, decision, CASE WHEN decision LIKE '%Accepted' THEN best.mention_id END, CASE WHEN decision = 'Excluded' THEN 0 ELSE coalesce(scores[1], 0) END, ranked, scores FROM (
+      SELECT *, CASE WHEN {_in('c.form', resolve.EXCLUDED)} THEN 'Excluded' WHEN len(scores) = 0 THEN 'Seeded' WHEN scores[1] >= 700 AND (len(scores) = 1 OR scores[1] - scores[2] >= 140) THEN CASE WHEN c.entity_id = best.entity_id THEN 'HardAccepted' ELSE 'Accepted' END
+        WHEN scores[1] >= 700 THEN 'Ambiguous' WHEN scores[1] >= 560 THEN 'Deferred' ELSE 'Unresolved' END AS decision FROM (
+        SELECT *, list_transform(pairs, lambda p: p.t) AS ranked, list_transform(pairs, lambda p: -p.s) AS scores, pairs[1].t AS best FROM (
+          SELECT doc_id, k, ms, accepted, c, list_sort(list_transform(list_filter(accepted, lambda t: abs(c.sentence - t.sentence) <= 6 AND abs(c.place - t.place) <= 1 AND c.concept = t.concept AND (c.paragraph = t.paragraph OR NOT ({IS_PRONOUN.format('c')} OR {IS_PRONOUN.format('t')}))
+              AND coalesce(c.gender = t.gender, true) AND coalesce(c.number = t.number, true)),
+            lambda t: {{'s': -({_points('entity', 'c.entity_id = t.entity_id')} + {_points('surface', 'c.surface = t.surface')} + 380 - 35 * abs(c.sentence - t.sentence) + {_points('paragraph', 'c.paragraph = t.paragraph')} + {_points('subjects', 'c.subj AND t.subj')}
+              + {_points('pronoun', IS_PRONOUN.format('c') + ' OR ' + IS_PRONOUN.format('t'))} + {_points('reflexive', "'ReflexivePronoun' IN (c.form, t.form)")} + {_points('proper', "'ProperName' IN (c.form, t.form)")}), 'id': t.mention_id::VARCHAR, 't': t}})) AS pairs
+          FROM (SELECT *, ms[k + 1] AS c FROM walk WHERE k < len(ms)))))
+  ), decided AS (SELECT w.doc_id, w.mention_id, m.form, w.decision, w.target_id, w.score, w.scored_ms, w.scores, m.sentence, m.concept, m.surface FROM walk w JOIN m USING (mention_id) WHERE k > 0),
+  heads AS (SELECT doc_id, mention_id, mention_id AS head FROM decided WHERE decision = 'Seeded' UNION ALL SELECT d.doc_id, d.mention_id, h.head FROM heads h JOIN decided d ON d.target_id = h.mention_id),
+  numbered AS (SELECT doc_id, mention_id AS head, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence, mention_id) - 1)::INT AS cluster_no FROM decided WHERE decision = 'Seeded'),
+  full_ AS (SELECT d.*, h.head, n.cluster_no FROM decided d LEFT JOIN heads h ON h.mention_id = d.mention_id LEFT JOIN numbered n ON n.head = h.head),
+  groups AS (SELECT doc_id, cluster_no, head AS representative, count(*) AS mentions, arg_min(surface, (sentence, mention_id)) FILTER (surface IS NOT NULL) AS canonical_name, nullif(any_value(concept), chr(0)) AS concept FROM full_ WHERE cluster_no IS NOT NULL GROUP BY doc_id, cluster_no, head)"""
 LINES = r"""lines AS (SELECT doc_id, k - 1 AS line_no, line, coalesce(sum(size + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_byte, strlen(line) AS n, regexp_matches(line, '^[\s\pZ\v]*$') AS blank
     FROM (SELECT doc_id, k, replace(raw, chr(1), '') AS line, strlen(raw) AS size FROM (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS k
       FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(1) || chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))))"""
@@ -463,10 +516,16 @@ SQL = {
         CASE k WHEN 0 THEN 150 WHEN 2 THEN 0 WHEN 7 THEN -660 END::INT AS offset_minutes, CASE WHEN k IN (0, 1, 2, 7, 8) THEN 'Absolute' WHEN k = 3 THEN 'Duration' WHEN k = 4 THEN 'Frequency' WHEN k = 5 THEN 'Deictic' ELSE 'Symbolic' END AS kind,
         CASE k WHEN 3 THEN 'Overlaps' WHEN 5 THEN 'Before' ELSE 'Simultaneous' END AS relation FROM k""",
     "q_event_groups": "SELECT min(event_id) AS cluster, count(*) AS events FROM events GROUP BY coalesce(user_id::VARCHAR, '#' || event_id), coalesce(event_type, '#' || event_id)",
-    "q_pair_score": f"WITH {PAIRS} SELECT * FROM pairs",
-    "q_resolution_decision": f"""WITH {PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mention_id ORDER BY score DESC, target_id) AS k FROM pairs), b AS (SELECT doc_id, mention_id, max(CASE WHEN k = 1 THEN target_id END) AS target_id, max(CASE WHEN k = 1 THEN score END) AS score, max(CASE WHEN k = 2 THEN score END) AS second, count(*) AS alternatives FROM k WHERE k <= 16 GROUP BY ALL)
-      SELECT m.doc_id, m.mention_id, target_id, score, coalesce(alternatives, 0) AS alternatives, CASE WHEN form = 'Empty' THEN 'Excluded' WHEN score IS NULL THEN 'Seeded' WHEN score >= 700 AND score - coalesce(second, -1000000) >= 140 THEN 'Accepted' WHEN score >= 700 THEN 'Ambiguous' WHEN score >= 560 THEN 'Deferred' ELSE 'Unresolved' END AS decision,
-        CASE WHEN score IS NULL THEN 1000 ELSE greatest(least(score, 1000), 0) END AS confidence_milli FROM m LEFT JOIN b ON b.doc_id = m.doc_id AND b.mention_id = m.mention_id""",
+    "q_pair_score": f"WITH {RESOLVED} SELECT doc_id, mention_id, k::INT AS rank, scored_ms[k].mention_id AS target_id, scores[k]::INT AS score FROM (SELECT *, unnest(range(1, least(len(scores), 16) + 1)) AS k FROM decided)",
+    "q_resolution_decision": f"WITH {RESOLVED} SELECT doc_id, mention_id, form, decision, target_id, score::INT AS score, cluster_no, least(len(scores), 16)::INT AS alternatives, greatest(least(score, 1000), 0)::INT AS confidence_milli FROM full_",
+    "q_resolution_clusters": f"WITH {RESOLVED} SELECT * FROM groups",
+    "q_resolution_summary": f"""WITH {RESOLVED} SELECT d.*, coalesce(c.several, 0) AS resolved_clusters, coalesce(c.one, 0) AS single_clusters FROM (SELECT doc_id, count(*) AS mentions, sum((decision IN ('Accepted', 'Seeded'))::INT)::BIGINT AS accepted, sum((decision = 'HardAccepted')::INT)::BIGINT AS hard_accepted,
+        sum((decision = 'Ambiguous')::INT)::BIGINT AS ambiguous, sum((decision = 'Deferred')::INT)::BIGINT AS deferred, sum((decision = 'Unresolved')::INT)::BIGINT AS unresolved, sum((decision = 'Excluded')::INT)::BIGINT AS excluded FROM full_ GROUP BY doc_id) d
+      LEFT JOIN (SELECT doc_id, sum((mentions > 1)::INT)::BIGINT AS several, sum((mentions = 1)::INT)::BIGINT AS one FROM groups GROUP BY doc_id) c USING (doc_id)""",
+    "q_resolution_errors": f"""WITH {RESOLVED}, p AS (SELECT DISTINCT doc_id, mention_id FROM mention_resolution_profile WHERE mention_id IS NOT NULL)
+      SELECT doc_id, mention_id, 'MissingDecision' AS error FROM p WHERE NOT EXISTS (FROM m WHERE m.doc_id = p.doc_id AND m.mention_id = p.mention_id)""",
+    "q_named_clusters": f"WITH {RESOLVED} SELECT entity_id, count(*) AS clusters, sum(mentions)::BIGINT AS mentions FROM groups JOIN entity_ref ON lower(entity_ref.canonical_name) = groups.canonical_name GROUP BY entity_id",
+    "q_coref_components": f"WITH {RESOLVED} SELECT mention_id AS node_id, min(mention_id) OVER (PARTITION BY head) AS component FROM (SELECT *, count(*) OVER (PARTITION BY head) AS n FROM full_ WHERE head IS NOT NULL) WHERE n > 1",
     "q_topic_carry_forward": f"WITH {TURNS} SELECT turn_id, last_value(predicate IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS topic FROM turns WHERE session_id IS NOT NULL",
     "q_cross_turn_coref": f"WITH {TURNS} SELECT * FROM (SELECT session_id, turn_id, predicate, lag(turn_id) OVER (PARTITION BY session_id, predicate ORDER BY turn_id) AS antecedent FROM turns WHERE session_id IS NOT NULL AND predicate IS NOT NULL) WHERE antecedent IS NOT NULL",
     "q_recent_entities": f"WITH {TURNS} SELECT session_id, turn_id, predicate, row_number() OVER (PARTITION BY session_id ORDER BY turn_id DESC)::INT AS recency FROM turns WHERE session_id IS NOT NULL AND predicate IS NOT NULL QUALIFY recency <= 3",
