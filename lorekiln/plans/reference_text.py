@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekiln.operators import evaluate as E
 from lorekiln.operators import frames as P
 from lorekiln.operators import graph as G
-from lorekiln.operators import hierarchy, lexicon, resolve, segment
+from lorekiln.operators import docgraph, hierarchy, lexicon, resolve, segment
 from lorekiln.operators import temporal as T
 from lorekiln.sources import store
 from lorekiln.sources.tables import current_rows, table
@@ -211,6 +211,44 @@ def q_dangling_edges(spark, sf):
     return G.dangling(e, n)
 
 
+def q_doc_graph_nodes(spark, sf):
+    return docgraph.build(_documents(spark, sf))[0]
+
+
+def q_doc_graph_edges(spark, sf):
+    return docgraph.build(_documents(spark, sf))[1]
+
+
+def q_doc_graph_mentions(spark, sf):
+    return docgraph.build(_documents(spark, sf))[2]
+
+
+def q_doc_graph_summary(spark, sf):
+    nodes, edges, _ = docgraph.build(_documents(spark, sf))
+    return docgraph.summary(nodes, edges)
+
+
+def q_doc_graph_outgoing(spark, sf):
+    """The edges out of and into every node, in their order."""
+    edges = docgraph.build(_documents(spark, sf))[1]
+    side = lambda s: docgraph.outgoing(edges, s).withColumn("side", F.lit(s))
+    return side("src").unionByName(side("dst"))
+
+
+def q_doc_graph_candidates(spark, sf):
+    nodes, edges, _ = docgraph.build(_documents(spark, sf))
+    return docgraph.sentence_candidates(nodes, edges)
+
+
+def q_doc_graph_errors(spark, sf):
+    """A graph of the texts without their last paragraph's sentences, held against the whole texts: what is gone must be found."""
+    nodes, edges, _ = docgraph.build(_documents(spark, sf))
+    lost = nodes.where("kind = 'sentence'").groupBy("doc_id").agg(F.max("ordinal").alias("sentence_no"))
+    cut = nodes.where("kind IN ('sentence', 'unresolved')").join(lost, ["doc_id", "sentence_no"], "left_semi").unionByName(nodes.where("kind = 'block' AND ordinal = 0").select("doc_id", "sentence_no", *[c for c in nodes.columns if c not in ("doc_id", "sentence_no")]))
+    kept = nodes.join(cut.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+    return docgraph.errors(_documents(spark, sf), kept, edges)
+
+
 def q_ontology_closure(spark, sf):
     return G.closure(_graph(spark, sf)[1])
 
@@ -436,6 +474,41 @@ LINES = r"""lines AS (SELECT doc_id, k - 1 AS line_no, line, coalesce(sum(size +
       FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(1) || chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))))"""
 PARAGRAPHS = """runs AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM lines),
   paras AS (SELECT doc_id, min(line_no)::INT AS first_line, count(*) AS lines, min(start_byte) AS start_byte, max(start_byte + n) AS end_byte FROM runs WHERE NOT blank GROUP BY doc_id, island)"""
+BLANK = r"[ \t\n\r\f]"
+FRAME_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k, _ in P.TEMPLATES) + " END"
+ROLES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN [{', '.join(f"{{'role': '{n}', 'filler': regexp_extract(s, '{p}', {k})}}" for k, n in enumerate(names, 1))}]" for p, _, names in P.TEMPLATES) + " END"
+DOCGRAPH = f"""WITH {LINES}, {PARAGRAPHS}, gaps AS (SELECT doc_id, coalesce(lag(end_byte) OVER (PARTITION BY doc_id ORDER BY start_byte), 0) AS a, start_byte AS b FROM paras
+      UNION ALL SELECT d.doc_id, coalesce(p.e, 0), strlen(text) FROM documents d LEFT JOIN (SELECT doc_id, max(end_byte) AS e FROM paras GROUP BY doc_id) p USING (doc_id) WHERE text <> ''),
+  blocks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS block_no FROM (SELECT doc_id, start_byte AS a, end_byte AS b, 'Paragraph' AS kind FROM paras UNION ALL SELECT doc_id, a, b, 'PreservedWhitespace' FROM gaps WHERE a < b)),
+  pars AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS paragraph_no FROM blocks WHERE kind = 'Paragraph'),
+  pieces AS (SELECT doc_id, paragraph_no, a, unnest(l) AS raw, generate_subscripts(l, 1) AS k FROM (SELECT p.*, regexp_extract_all(decode(array_slice(encode(text), a + 1, b)), '{docgraph.SENTENCE.replace(chr(92) + 'z', '$').replace("'", "''")}') AS l FROM pars p JOIN documents USING (doc_id))),
+  sized AS (SELECT *, a + coalesce(sum(strlen(raw)) OVER (PARTITION BY doc_id, paragraph_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw_start, regexp_replace(raw, '^{BLANK}+|{BLANK}+$', '', 'g') AS s FROM pieces),
+  sents AS (SELECT doc_id, paragraph_no, s, (raw_start + strlen(regexp_extract(raw, '^{BLANK}*')))::BIGINT AS a, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_no, k) - 1 AS no, {FRAME_SQL} AS frame_type, {ROLES_SQL} AS roles FROM sized WHERE s <> ''),
+  framed AS MATERIALIZED (SELECT *, a + strlen(s) AS b, CASE WHEN frame_type IS NOT NULL THEN sum((frame_type IS NOT NULL)::INT) OVER w - 1 END AS frame_no, CASE WHEN frame_type IS NULL THEN sum((frame_type IS NULL)::INT) OVER w - 1 END AS unresolved_no FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+  roles AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, role_ordinal) - 1 AS mention_no, len(words) AS n FROM (
+    SELECT doc_id, no, frame_no, s, a, b, r.role, r.filler, role_ordinal, regexp_extract_all(r.filler, '[^ \t\n\r\f]+') AS words, a + strlen(left(s, instr(s, r.filler) - 1)) AS begin_ FROM (SELECT *, unnest(roles) AS r, generate_subscripts(roles, 1) - 1 AS role_ordinal FROM framed WHERE frame_no IS NOT NULL))),
+  nodes AS (SELECT doc_id, 'n:' || kind || ':' || lpad(ordinal::VARCHAR, 6, '0') AS node_id, kind, ordinal::INT AS ordinal, sentence_no::INT AS sentence_no, a::BIGINT AS start_byte, b::BIGINT AS end_byte, label FROM (
+    SELECT doc_id, 'document' AS kind, 0 AS ordinal, NULL AS sentence_no, 0 AS a, strlen(text) AS b, NULL AS label FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 'block', block_no, NULL, a, b, kind FROM blocks UNION ALL SELECT doc_id, 'paragraph', paragraph_no, NULL, a, b, NULL FROM pars
+    UNION ALL SELECT doc_id, 'sentence', no, no, a, b, CASE WHEN frame_no IS NULL THEN 'Unresolved' ELSE 'Resolved' END FROM framed
+    UNION ALL SELECT doc_id, kind, frame_no, no, CASE WHEN kind <> 'event' THEN a END, CASE WHEN kind <> 'event' THEN b END, CASE WHEN kind <> 'semantic' THEN frame_type END FROM framed, (SELECT unnest(['semantic', 'frame', 'event']) AS kind) WHERE frame_no IS NOT NULL
+    UNION ALL SELECT doc_id, 'mention', mention_no, no, begin_, begin_ + strlen(regexp_replace(filler, '{BLANK}+$', '')), role FROM roles
+    UNION ALL SELECT doc_id, 'candidate', mention_no, no, NULL, NULL, lower(regexp_replace(trim(filler), '[ \t\n\r\f\v]+', ' ', 'g')) FROM roles
+    UNION ALL SELECT doc_id, 'unresolved', unresolved_no, no, a, b, 'Unresolved' FROM framed WHERE unresolved_no IS NOT NULL)),
+  links AS (
+    SELECT doc_id, 'ContainsBlock' AS kind, 'document' AS f, 0 AS x, 'block' AS t, block_no AS y, 1 AS p, block_no AS k1, 0 AS k2 FROM blocks
+    UNION ALL SELECT doc_id, 'NextBlock', 'block', block_no - 1, 'block', block_no, 2, block_no, 0 FROM blocks WHERE block_no > 0
+    UNION ALL SELECT doc_id, 'ContainsParagraph', 'block', block_no, 'paragraph', paragraph_no, 3, paragraph_no, 0 FROM pars
+    UNION ALL SELECT doc_id, 'NextParagraph', 'paragraph', paragraph_no - 1, 'paragraph', paragraph_no, 4, paragraph_no, 0 FROM pars WHERE paragraph_no > 0
+    UNION ALL SELECT doc_id, 'ContainsSentence', 'paragraph', paragraph_no, 'sentence', no, 5, no, 0 FROM framed
+    UNION ALL SELECT doc_id, 'NextSentence', 'sentence', no - 1, 'sentence', no, 6, no, 0 FROM framed WHERE no > 0
+    UNION ALL SELECT doc_id, 'HasSemanticSentence', 'sentence', no, 'semantic', frame_no, 7, no, 0 FROM framed WHERE frame_no IS NOT NULL
+    UNION ALL SELECT doc_id, 'HasFrame', 'semantic', frame_no, 'frame', frame_no, 7, no, 1 FROM framed WHERE frame_no IS NOT NULL
+    UNION ALL SELECT doc_id, 'HasMention', 'frame', frame_no, 'mention', mention_no, 7, no, role_ordinal * 2 + 2 FROM roles
+    UNION ALL SELECT doc_id, 'RefersToCandidate', 'mention', mention_no, 'candidate', mention_no, 7, no, role_ordinal * 2 + 3 FROM roles
+    UNION ALL SELECT doc_id, 'RepresentsEvent', 'frame', frame_no, 'event', frame_no, 7, no, 1000000 FROM framed WHERE frame_no IS NOT NULL
+    UNION ALL SELECT doc_id, 'HasUnresolvedFragment', 'sentence', no, 'unresolved', unresolved_no, 7, no, 0 FROM framed WHERE unresolved_no IS NOT NULL),
+  edges AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p, k1, k2) - 1)::INT AS edge_no, 'n:' || f || ':' || lpad(x::VARCHAR, 6, '0') AS src, 'n:' || t || ':' || lpad(y::VARCHAR, 6, '0') AS dst, kind FROM links)"""
 OPENED = "(^|[\\s(\\[{\"“„])"
 
 
@@ -506,6 +579,17 @@ SQL = {
     "q_graph_summary": f"WITH {GRAPH} SELECT 'node' AS element, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind",
     "q_graph_neighbors": f"WITH {GRAPH} SELECT node_id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT src AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node_id",
     "q_dangling_edges": "SELECT DISTINCT mention_id::VARCHAR AS src, concept AS dst, 'dst' AS missing FROM mention_resolution_profile WHERE mention_id IS NOT NULL AND concept IS NOT NULL AND concept NOT IN (SELECT id FROM ontology_entry WHERE id IS NOT NULL)",
+    "q_doc_graph_nodes": f"{DOCGRAPH} SELECT * FROM nodes",
+    "q_doc_graph_edges": f"{DOCGRAPH} SELECT * FROM edges",
+    "q_doc_graph_mentions": f"""{DOCGRAPH} SELECT doc_id, no::INT AS sentence_no, frame_no, mention_no::INT AS mention_no, role, role_ordinal::INT AS role_ordinal, filler AS name, lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normalized_name, 'frame[0.0]/' || role || '[' || role_ordinal || ']' AS path,
+      CASE WHEN n > 1 THEN 'Discontinuous' ELSE 'Exact' END AS anchor, begin_ AS start_byte, begin_ + strlen(regexp_replace(filler, '{BLANK}+$', '')) AS end_byte, greatest(n, 1)::INT AS spans FROM roles""",
+    "q_doc_graph_summary": f"{DOCGRAPH} SELECT doc_id, 'node' AS element, kind, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT doc_id, 'edge', kind, count(*) FROM edges GROUP BY ALL",
+    "q_doc_graph_outgoing": f"""{DOCGRAPH} SELECT doc_id, src AS node_id, (row_number() OVER (PARTITION BY doc_id, src ORDER BY edge_no) - 1)::INT AS place, edge_no, dst AS other, kind, 'src' AS side FROM edges
+      UNION ALL SELECT doc_id, dst, (row_number() OVER (PARTITION BY doc_id, dst ORDER BY edge_no) - 1)::INT, edge_no, src, kind, 'dst' FROM edges""",
+    "q_doc_graph_candidates": f"{DOCGRAPH} SELECT doc_id, sentence_no, node_id AS candidate, label AS name FROM nodes WHERE kind = 'candidate'",
+    "q_doc_graph_errors": f"""{DOCGRAPH}, lost AS (SELECT doc_id, max(ordinal) AS no FROM nodes WHERE kind = 'sentence' GROUP BY doc_id), cut AS (
+        SELECT doc_id, node_id FROM nodes JOIN lost USING (doc_id) WHERE kind IN ('sentence', 'unresolved') AND sentence_no = no UNION ALL SELECT doc_id, node_id FROM nodes WHERE kind = 'block' AND ordinal = 0)
+      SELECT DISTINCT c.doc_id, 'DanglingEdge' AS error, c.node_id AS subject FROM cut c JOIN edges e ON e.doc_id = c.doc_id AND c.node_id IN (e.src, e.dst) UNION ALL SELECT doc_id, 'UncoveredBytes', strlen(text)::VARCHAR FROM documents WHERE text <> ''""",
     "q_ontology_closure": f"WITH RECURSIVE {GRAPH}, closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON c.dst = e.src) SELECT DISTINCT src, dst FROM closed",
     "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
     "q_temporal_conflicts": f"WITH RECURSIVE {ONTOLOGY} SELECT DISTINCT a.src, a.dst FROM closed a JOIN closed b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst",
