@@ -352,3 +352,31 @@ def value_text(kind: str = "kind") -> Column:
         .when(F.col(kind) == "frequency", F.concat(F.lit("every "), "every"))
         .otherwise(F.col("text"))
     )
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("subject", "object")) -> DataFrame:
+    """Rendered rows with ``<column>_label``: the canonical name of the cluster a ``cluster:...`` value stands for, other values without their kind.
+
+    ``labels``: cluster_id, canonical_name; the least name if there are several. An unknown cluster keeps its id.
+    """
+    known = labels.where("canonical_name IS NOT NULL").groupBy("cluster_id").agg(F.min("canonical_name").alias("name"))
+    for c in columns:
+        bare = F.regexp_replace(c, "^[^:]*:", "")
+        key = F.when(F.startswith(c, F.lit("cluster:")), bare)
+        rows = rows.withColumn("key__", key).join(known.select(F.col("cluster_id").alias("key__"), F.col("name").alias("name__")), "key__", "left").withColumn(f"{c}_label", F.coalesce("name__", bare)).drop("key__", "name__")
+    return rows
+
+
+def preferred_value(*columns: str) -> Column:
+    """The first of the values (say subject, object, text, summary) that isn't null or blank."""
+    return F.coalesce(*[F.when(F.trim(c) != "", F.col(c)) for c in columns])
+
+
+QUALITIES = ["Supported", "Contested", "Negated", "Unsupported"]
+
+
+def quality_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Facts of each quality in a group, with the rank of the quality: supported ones first."""
+    quality = fact_quality()
+    rank = F.array_position(F.array(*map(F.lit, QUALITIES)), F.col("quality")).cast("int")
+    return rows.withColumn("quality", quality).groupBy(*by, "quality").agg(F.count("*").alias("facts"), F.max("confidence").alias("best_confidence")).withColumn("group_rank", rank)

@@ -64,13 +64,19 @@ SPANS = """aggregate(regexp_extract_all(filler, '[^ \\\\t\\\\n\\\\r\\\\f]+|[ \\\
   (acc, p) -> named_struct('at', acc.at + octet_length(p), 'spans', CASE WHEN trim(p) = '' OR p RLIKE '^[ \\\\t\\\\n\\\\r\\\\f]' THEN acc.spans ELSE array_append(acc.spans, named_struct('start_byte', acc.at, 'end_byte', acc.at + octet_length(p))) END), acc -> acc.spans)"""
 
 
+def factuality() -> Column:
+    """Of a sentence: a question before a negation before a plain statement."""
+    negated = F.lower("sentence").rlike("(^| )(not|never|nie|nigdy|nicht|kein|keine)( |$)")
+    return F.when(F.endswith("sentence", F.lit("?")), "Questioned").when(negated, "Negated").otherwise("Asserted")
+
+
 def mentions(framed: DataFrame) -> DataFrame:
     """One row per role of each frame: its path, name and anchor in the text.
 
     The anchor is ``Exact`` for one word, ``Discontinuous`` (a span for each
     word, and their envelope) for several, else ``SentenceScoped``.
     """
-    rows = framed.where("frame_no IS NOT NULL").select("doc_id", "sentence_no", "frame_no", "frame_type", "sentence", F.col("start_byte").alias("s_start"), F.col("end_byte").alias("s_end"), F.posexplode("roles").alias("role_ordinal", "r"))
+    rows = framed.where("frame_no IS NOT NULL").select("doc_id", "sentence_no", "frame_no", "frame_type", "sentence", factuality().alias("factuality"), F.col("start_byte").alias("s_start"), F.col("end_byte").alias("s_end"), F.posexplode("roles").alias("role_ordinal", "r"))
     rows = rows.select("*", "r.role", "r.filler").withColumn("mention_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("sentence_no", "role_ordinal")) - 1)
     place = F.instr("sentence", F.col("filler"))
     begin = F.col("s_start") + F.octet_length(F.substring("sentence", F.lit(1), place - 1))
@@ -78,7 +84,7 @@ def mentions(framed: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("spans"), F.lit(0))
     name = F.lower(F.regexp_replace(F.trim("filler"), r"\s+", " "))
     return rows.select(
-        "doc_id", "sentence_no", "frame_no", "mention_no", "role", "role_ordinal", F.col("filler").alias("name"), name.alias("normalized_name"),
+        "doc_id", "sentence_no", "frame_no", "frame_type", "factuality", "mention_no", "role", "role_ordinal", F.col("filler").alias("name"), name.alias("normalized_name"),
         F.format_string("frame[0.0]/%s[%d]", "role", "role_ordinal").alias("path"),
         F.when(n > 1, "Discontinuous").when(n == 1, "Exact").otherwise("SentenceScoped").alias("anchor"),
         F.when(n > 0, F.element_at("spans", 1).start_byte).otherwise(F.col("s_start")).alias("start_byte"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Predicates that have one object.
 FUNCTIONAL = ["CAPITAL_OF", "POPULATION", "DATE_OF"]
 
 # Frame, subject role, predicate kind, predicate, object role.
@@ -98,3 +99,69 @@ def link_entities(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
 def decimal_normal(sign: Column, mantissa: Column) -> Column:
     """The sign of a decimal; zero is positive."""
     return F.when(mantissa == 0, F.lit(1)).otherwise(sign)
+
+
+#: Fixed value: confidence of an occurrence.
+CONFIDENCE = 700
+
+
+def occurrences(mentions: DataFrame) -> DataFrame:
+    """Propositions of all documents from the mentions of their frames.
+
+    Columns: doc_id, occ_no (by frame), sentence_no, frame_no, subject,
+    pred_kind, predicate, object, factuality, world, confidence_milli, evidence
+    (mentions of the sentence that bear the subject's or object's name, by
+    number) and spans (theirs, by place). Frames of unmapped types and frames
+    without subject give none.
+    """
+    keys = ["doc_id", "frame_no"]
+    frames = mentions.select(*keys, "sentence_no", "frame_type", "factuality").distinct().withColumn("frame_id", F.struct(*keys)).withColumn("quantity", F.lit(None).cast("string"))
+    roles = mentions.select(F.struct(*keys).alias("frame_id"), "role", F.col("name").alias("filler"))
+    triples = frame_triples(frames, roles).join(frames.select("frame_id", *keys, "sentence_no", "factuality"), "frame_id")
+    names = triples.select("frame_id", "doc_id", "sentence_no", F.explode(F.array_distinct(F.array_compact(F.array("subject", "object")))).alias("name")).withColumn("normalized_name", F.lower(F.regexp_replace(F.trim("name"), r"\s+", " ")))
+    found = names.join(mentions.select("doc_id", "sentence_no", "normalized_name", "mention_no", "start_byte", "end_byte"), ["doc_id", "sentence_no", "normalized_name"])
+    cited = found.groupBy("frame_id").agg(F.array_sort(F.collect_set("mention_no")).alias("evidence"), F.array_sort(F.collect_set(F.struct("start_byte", "end_byte"))).alias("spans"))
+    world = F.when(F.col("factuality") == "Questioned", "Question").otherwise("Actual")
+    rows = triples.join(cited, "frame_id", "left").withColumn("occ_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("frame_no")) - 1)
+    return rows.select("doc_id", "occ_no", "sentence_no", "frame_no", "subject", "pred_kind", "predicate", "object", "factuality", world.alias("world"), F.lit(CONFIDENCE).alias("confidence_milli"), "evidence", "spans")
+
+
+def document_claims(found: DataFrame) -> DataFrame:
+    """Claims of the occurrences: the signature holds the source sentence, ``fact_key`` only what is said; opposed ones are Contested."""
+    rows = found.withColumn("signature", signature("doc_id", "sentence_no", "subject", "pred_kind", "predicate", "object")).withColumn("fact_key", signature("subject", "pred_kind", "predicate", "object"))
+    grouped = rows.groupBy("signature").agg(
+        F.min(F.struct("doc_id", "occ_no", "sentence_no", "subject", "pred_kind", "predicate", "object", "factuality", "world", "fact_key")).alias("f"), F.count("*").alias("occurrences"), F.max("confidence_milli").alias("confidence_milli")
+    )
+    claims = grouped.select("signature", "f.*", "occurrences", "confidence_milli").withColumn("status", claim_status())
+    named = claims.select("*", F.lit("text").alias("subj_kind"), F.col("subject").alias("subj_val"), F.concat("pred_kind", F.lit(":"), "predicate").alias("pred_val"), F.lit("text").alias("obj_kind"), F.col("object").alias("obj_val"))
+    return contest(named, contradictions(named, [f"Custom:{p}" for p in FUNCTIONAL])).drop("subj_kind", "subj_val", "pred_val", "obj_kind", "obj_val")
+
+
+def knowledge_summary(found: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per document: occurrences, those with evidence, questions, negations, claims, contested ones."""
+    n = lambda c: F.sum(c.cast("int"))
+    o = found.groupBy("doc_id").agg(F.count("*").alias("occurrences"), n(F.size("evidence") > 0).alias("with_evidence"), n(F.col("factuality") == "Questioned").alias("questioned"), n(F.col("factuality") == "Negated").alias("negated"))
+    c = claims.groupBy("doc_id").agg(F.count("*").alias("claims"), n(F.col("status") == "Contested").alias("contested"))
+    return o.join(c, "doc_id", "left")
+
+
+def knowledge_errors(found: DataFrame, claims: DataFrame) -> DataFrame:
+    """(doc_id, error, subject): occurrences without a claim, claims without an occurrence, repeated numbers, spans that end before they begin."""
+    key = ["doc_id", "sentence_no", "subject", "pred_kind", "predicate", "object"]
+    signed = found.withColumn("signature", signature(*key))
+    say = lambda df, error, what: df.select("doc_id", F.lit(error).alias("error"), F.col(what).cast("string").alias("subject"))
+    return (
+        say(signed.join(claims.select("signature"), "signature", "left_anti"), "MissingClaim", "occ_no")
+        .unionByName(say(claims.join(signed.select("signature"), "signature", "left_anti"), "ClaimWithoutOccurrence", "signature"))
+        .unionByName(say(found.groupBy("doc_id", "occ_no").count().where("count > 1"), "DuplicateOccurrence", "occ_no"))
+        .unionByName(say(found.where(F.exists("spans", lambda x: x.start_byte >= x.end_byte)), "EmptySpan", "occ_no"))
+    )
+
+
+def evidence_detail(claims: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Each claim with every span that supports it and where it stands: title, source and revision; claims without a valid span have no row."""
+    key = ["doc_id", "sentence_no", "subject", "pred_kind", "predicate", "object"]
+    spans = found.withColumn("signature", signature(*key)).select("signature", "doc_id", "occ_no", F.explode("spans").alias("s")).where("s.start_byte >= 0 AND s.start_byte < s.end_byte")
+    about = documents.select("doc_id", "title", F.col("source").alias("uri"), "revision", F.octet_length("text").alias("size"))
+    rows = claims.select("signature", "status").join(spans, "signature").join(about, "doc_id").where("s.end_byte <= size")
+    return rows.select("signature", "status", "doc_id", "occ_no", "s.start_byte", "s.end_byte", "title", "uri", "revision")

@@ -158,6 +158,20 @@ def q_facts_by_entity_paged(spark: SparkSession, sf: str) -> DataFrame:
     return C.page(facts, ["selector"], ["claim_id"], 5, 10).select("selector", "claim_id", "rank", "total", "truncated")
 
 
+def q_entity_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' claims with the names of suppliers and nations, and the value to show first."""
+    rows = C.render(C.with_evidence(claims(spark, sf, "supplier", "nation", "part"), _none(spark)))
+    ids = lambda t, k, n, p: table(spark, sf, t).selectExpr(f"concat('{p}:', cast({k} AS string)) AS cluster_id", f"{n} AS canonical_name")
+    labelled = C.with_labels(rows, ids("supplier", "s_suppkey", "s_name", "supplier").unionByName(ids("nation", "n_nationkey", "n_name", "nation")))
+    return labelled.select("claim", "subject_label", "object_label", C.preferred_value("subject_label", "object_label", "summary").alias("shown"))
+
+
+def q_fact_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts by customer segment's nation, bundle and quality, with the rank of each quality."""
+    rows = C.render(C.with_evidence(claims(spark, sf, "customer", "orders"), order_occurrences(spark, sf)))
+    return C.quality_groups(rows, ["bundle_id", "object"])
+
+
 def q_ambiguous_names(spark: SparkSession, sf: str) -> DataFrame:
     clusters = table(spark, sf, "entity_ref").selectExpr("entity_kind AS bundle_id", "cast(entity_id AS string) AS cluster_id", "canonical_name", "array(split(canonical_name, ' ')[0]) AS aliases")
     return C.ambiguous_names(clusters)
@@ -193,7 +207,7 @@ def q_value_text(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("p_partkey", C.value_text().alias("value"))
 
 
-QUERIES = [q_claim_scan_filter, q_claim_boolean_tree, q_claim_count_evidence, q_claim_distinct_first, q_claim_sort_limit, q_claim_contradictions, q_claim_contested, q_claim_signature_dedupe, q_boolean_answer_status, q_answer_status, q_boolean_answers, q_multi_bundle_merge, q_evidence_attach, q_answer_ranking, q_answer_text, q_fact_quality, q_facts_by_entity_paged, q_ambiguous_names, q_entity_links, q_frame_triples, q_value_text]
+QUERIES = [q_claim_scan_filter, q_claim_boolean_tree, q_claim_count_evidence, q_claim_distinct_first, q_claim_sort_limit, q_claim_contradictions, q_claim_contested, q_claim_signature_dedupe, q_boolean_answer_status, q_answer_status, q_boolean_answers, q_multi_bundle_merge, q_evidence_attach, q_answer_ranking, q_answer_text, q_fact_quality, q_facts_by_entity_paged, q_entity_labels, q_fact_groups, q_ambiguous_names, q_entity_links, q_frame_triples, q_value_text]
 
 STATUS = "CASE WHEN count(*) = 0 OR coalesce(sum(evidence_count), 0) = 0 THEN 'Unknown' WHEN count(*) = 1 THEN 'Exact' ELSE 'Supported' END"
 SQL = {
@@ -226,6 +240,10 @@ SQL = {
         SELECT DISTINCT concat(' ', upper(n_name)) AS selector, claim_id FROM claims JOIN nation n ON concat('nation:', n_nationkey) IN (subj_val, obj_val)),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY claim_id) AS rank, count(*) OVER (PARTITION BY selector) AS total FROM hits)
       SELECT selector, claim_id, rank::INT AS rank, total, total > 15 AS truncated FROM ranked WHERE rank > 5 AND rank <= 15""",
+    "q_entity_labels": f"""WITH claims AS ({claims_sql('supplier', 'nation', 'part')}), l AS (SELECT concat('supplier:', s_suppkey) AS id, s_name AS name FROM supplier UNION ALL SELECT concat('nation:', n_nationkey), n_name FROM nation)
+      SELECT claim_id AS claim, coalesce(a.name, subj_val) AS subject_label, coalesce(b.name, coalesce(obj_val, '')) AS object_label, coalesce(a.name, subj_val) AS shown FROM claims LEFT JOIN l a ON a.id = subj_val AND subj_kind = 'cluster' LEFT JOIN l b ON b.id = obj_val AND obj_kind = 'cluster'""",
+    "q_fact_groups": _with("customer", "orders") + """, q AS (SELECT *, CASE WHEN status = 'Contested' THEN 'Contested' WHEN factuality = 'Negated' THEN 'Negated' WHEN factuality = 'Asserted' AND evidence_count > 0 THEN 'Supported' ELSE 'Unsupported' END AS quality FROM rendered)
+      SELECT bundle_id, object, quality, count(*) AS facts, max(confidence) AS best_confidence, list_position(['Supported', 'Contested', 'Negated', 'Unsupported'], quality)::INT AS group_rank FROM q GROUP BY ALL""",
     "q_ambiguous_names": """SELECT bundle_id, name, meanings FROM (SELECT entity_kind AS bundle_id, lower(trim(alias)) AS name, count(DISTINCT lower(trim(canonical_name))) AS meanings
       FROM (SELECT *, unnest(list_distinct([canonical_name, split_part(canonical_name, ' ', 1)])) AS alias FROM entity_ref) GROUP BY ALL) WHERE meanings > 1""",
     "q_entity_links": """WITH m AS (SELECT * FROM mention_resolution_profile WHERE mention_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC NULLS LAST, exact_surface DESC NULLS LAST, normalized_surface DESC NULLS LAST) = 1),

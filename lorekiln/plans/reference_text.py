@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekiln.operators import claims as C
 from lorekiln.operators import evaluate as E
 from lorekiln.operators import frames as P
 from lorekiln.operators import graph as G
 from lorekiln.operators import docgraph, hierarchy, lexicon, resolve, segment
+from lorekiln.operators import knowledge as K
 from lorekiln.operators import temporal as T
+from lorekiln.session import store as store_table
 from lorekiln.sources import store
 from lorekiln.sources.tables import current_rows, table
 
@@ -249,6 +252,41 @@ def q_doc_graph_errors(spark, sf):
     return docgraph.errors(_documents(spark, sf), kept, edges)
 
 
+def _knowledge(spark, sf):
+    found = store_table(K.occurrences(docgraph.build(_documents(spark, sf))[2]), "occurrences")
+    return found, K.document_claims(found)
+
+
+def q_doc_occurrences(spark, sf):
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x.start_byte.cast("string"), F.lit("-"), x.end_byte.cast("string"))), ",")
+    return _knowledge(spark, sf)[0].withColumn("evidence", F.array_join("evidence", ",")).withColumn("spans", spans)
+
+
+def q_doc_claims(spark, sf):
+    return _knowledge(spark, sf)[1].select("doc_id", "sentence_no", "subject", "pred_kind", "predicate", "object", "factuality", "world", "status", "occurrences", "confidence_milli")
+
+
+def q_doc_knowledge_summary(spark, sf):
+    return K.knowledge_summary(*_knowledge(spark, sf))
+
+
+def q_doc_knowledge_errors(spark, sf):
+    """Claims of all but the last sentence with one against all occurrences: those of the last are missing."""
+    found, claims = _knowledge(spark, sf)
+    last = found.groupBy("doc_id").agg(F.max("sentence_no").alias("last"))
+    return K.knowledge_errors(found, claims.join(last, "doc_id").where("sentence_no < last").drop("last"))
+
+
+def q_claim_evidence_detail(spark, sf):
+    found, claims = _knowledge(spark, sf)
+    return K.evidence_detail(claims, found, _documents(spark, sf)).select("status", "doc_id", "occ_no", "start_byte", "end_byte", "title", "uri", "revision")
+
+
+def q_source_sentence_fallback(spark, sf):
+    """The first sentence of each text that holds both words."""
+    return C.fallback_sentences(_sentences(spark, sf), ["ferry", "town"])
+
+
 def q_ontology_closure(spark, sf):
     return G.closure(_graph(spark, sf)[1])
 
@@ -477,6 +515,7 @@ PARAGRAPHS = """runs AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORD
 BLANK = r"[ \t\n\r\f]"
 FRAME_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for p, k, _ in P.TEMPLATES) + " END"
 ROLES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN [{', '.join(f"{{'role': '{n}', 'filler': regexp_extract(s, '{p}', {k})}}" for k, n in enumerate(names, 1))}]" for p, _, names in P.TEMPLATES) + " END"
+FACTUALITY_SQL = "CASE WHEN suffix(s, '?') THEN 'Questioned' WHEN regexp_matches(lower(s), '(^| )(not|never|nie|nigdy|nicht|kein|keine)( |$)') THEN 'Negated' ELSE 'Asserted' END"
 DOCGRAPH = f"""WITH {LINES}, {PARAGRAPHS}, gaps AS (SELECT doc_id, coalesce(lag(end_byte) OVER (PARTITION BY doc_id ORDER BY start_byte), 0) AS a, start_byte AS b FROM paras
       UNION ALL SELECT d.doc_id, coalesce(p.e, 0), strlen(text) FROM documents d LEFT JOIN (SELECT doc_id, max(end_byte) AS e FROM paras GROUP BY doc_id) p USING (doc_id) WHERE text <> ''),
   blocks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS block_no FROM (SELECT doc_id, start_byte AS a, end_byte AS b, 'Paragraph' AS kind FROM paras UNION ALL SELECT doc_id, a, b, 'PreservedWhitespace' FROM gaps WHERE a < b)),
@@ -486,7 +525,7 @@ DOCGRAPH = f"""WITH {LINES}, {PARAGRAPHS}, gaps AS (SELECT doc_id, coalesce(lag(
   sents AS (SELECT doc_id, paragraph_no, s, (raw_start + strlen(regexp_extract(raw, '^{BLANK}*')))::BIGINT AS a, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_no, k) - 1 AS no, {FRAME_SQL} AS frame_type, {ROLES_SQL} AS roles FROM sized WHERE s <> ''),
   framed AS MATERIALIZED (SELECT *, a + strlen(s) AS b, CASE WHEN frame_type IS NOT NULL THEN sum((frame_type IS NOT NULL)::INT) OVER w - 1 END AS frame_no, CASE WHEN frame_type IS NULL THEN sum((frame_type IS NULL)::INT) OVER w - 1 END AS unresolved_no FROM sents WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
   roles AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no, role_ordinal) - 1 AS mention_no, len(words) AS n FROM (
-    SELECT doc_id, no, frame_no, s, a, b, r.role, r.filler, role_ordinal, regexp_extract_all(r.filler, '[^ \t\n\r\f]+') AS words, a + strlen(left(s, instr(s, r.filler) - 1)) AS begin_ FROM (SELECT *, unnest(roles) AS r, generate_subscripts(roles, 1) - 1 AS role_ordinal FROM framed WHERE frame_no IS NOT NULL))),
+    SELECT doc_id, no, frame_no, frame_type, {FACTUALITY_SQL} AS factuality, s, a, b, r.role, r.filler, role_ordinal, regexp_extract_all(r.filler, '[^ \t\n\r\f]+') AS words, a + strlen(left(s, instr(s, r.filler) - 1)) AS begin_ FROM (SELECT *, unnest(roles) AS r, generate_subscripts(roles, 1) - 1 AS role_ordinal FROM framed WHERE frame_no IS NOT NULL))),
   nodes AS (SELECT doc_id, 'n:' || kind || ':' || lpad(ordinal::VARCHAR, 6, '0') AS node_id, kind, ordinal::INT AS ordinal, sentence_no::INT AS sentence_no, a::BIGINT AS start_byte, b::BIGINT AS end_byte, label FROM (
     SELECT doc_id, 'document' AS kind, 0 AS ordinal, NULL AS sentence_no, 0 AS a, strlen(text) AS b, NULL AS label FROM documents WHERE text IS NOT NULL
     UNION ALL SELECT doc_id, 'block', block_no, NULL, a, b, kind FROM blocks UNION ALL SELECT doc_id, 'paragraph', paragraph_no, NULL, a, b, NULL FROM pars
@@ -509,6 +548,15 @@ DOCGRAPH = f"""WITH {LINES}, {PARAGRAPHS}, gaps AS (SELECT doc_id, coalesce(lag(
     UNION ALL SELECT doc_id, 'RepresentsEvent', 'frame', frame_no, 'event', frame_no, 7, no, 1000000 FROM framed WHERE frame_no IS NOT NULL
     UNION ALL SELECT doc_id, 'HasUnresolvedFragment', 'sentence', no, 'unresolved', unresolved_no, 7, no, 0 FROM framed WHERE unresolved_no IS NOT NULL),
   edges AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p, k1, k2) - 1)::INT AS edge_no, 'n:' || f || ':' || lpad(x::VARCHAR, 6, '0') AS src, 'n:' || t || ':' || lpad(y::VARCHAR, 6, '0') AS dst, kind FROM links)"""
+OCCURRENCES = f"""{DOCGRAPH}, rules AS (SELECT * FROM (VALUES {', '.join(str(r) for r in K.FRAME_RULES)}) AS r(frame_type, s_role, pred_kind, predicate, o_role)),
+  spanned AS (SELECT *, lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS name, begin_ + strlen(regexp_replace(filler, '{BLANK}+$', '')) AS end_ FROM roles),
+  triples AS (SELECT doc_id, frame_no, any_value(no) AS no, any_value(factuality) AS factuality, pred_kind, predicate, max(CASE WHEN role = s_role THEN filler END) AS subject, max(CASE WHEN role = o_role THEN filler END) AS object, max(CASE WHEN role = s_role THEN name END) AS s_name, max(CASE WHEN role = o_role THEN name END) AS o_name
+    FROM spanned JOIN rules USING (frame_type) GROUP BY doc_id, frame_no, pred_kind, predicate),
+  cited AS (SELECT t.doc_id, t.frame_no, string_agg(DISTINCT mention_no, ',' ORDER BY mention_no) AS evidence, list_sort(list(DISTINCT {{'a': begin_, 'b': end_}})) AS spans FROM triples t JOIN spanned m ON m.doc_id = t.doc_id AND m.no = t.no AND m.name IN (t.s_name, t.o_name) GROUP BY ALL),
+  occ AS (SELECT t.*, (row_number() OVER (PARTITION BY doc_id ORDER BY frame_no) - 1)::INT AS occ_no, CASE WHEN factuality = 'Questioned' THEN 'Question' ELSE 'Actual' END AS world, evidence, spans FROM triples t LEFT JOIN cited USING (doc_id, frame_no) WHERE subject IS NOT NULL),
+  told AS (SELECT doc_id, no, subject, pred_kind, predicate, object, arg_min(factuality, occ_no) AS factuality, arg_min(world, occ_no) AS world, min(occ_no) AS occ_no, count(*) AS occurrences FROM occ GROUP BY doc_id, no, subject, pred_kind, predicate, object),
+  bad AS (SELECT subject, pred_kind, predicate, world FROM told GROUP BY ALL HAVING count(*) >= 2 AND (bool_or(factuality = 'Negated') OR predicate IN ('CAPITAL_OF', 'POPULATION', 'DATE_OF') AND count(DISTINCT object) > 1)),
+  claims_ AS (SELECT t.*, CASE WHEN b.subject IS NOT NULL THEN 'Contested' WHEN factuality = 'Asserted' THEN 'Supported' WHEN factuality = 'Negated' THEN 'Contradicted' ELSE 'NonFactual' END AS status FROM told t LEFT JOIN bad b ON b.subject = t.subject AND b.pred_kind = t.pred_kind AND b.predicate = t.predicate AND b.world = t.world)"""
 OPENED = "(^|[\\s(\\[{\"“„])"
 
 
@@ -581,7 +629,7 @@ SQL = {
     "q_dangling_edges": "SELECT DISTINCT mention_id::VARCHAR AS src, concept AS dst, 'dst' AS missing FROM mention_resolution_profile WHERE mention_id IS NOT NULL AND concept IS NOT NULL AND concept NOT IN (SELECT id FROM ontology_entry WHERE id IS NOT NULL)",
     "q_doc_graph_nodes": f"{DOCGRAPH} SELECT * FROM nodes",
     "q_doc_graph_edges": f"{DOCGRAPH} SELECT * FROM edges",
-    "q_doc_graph_mentions": f"""{DOCGRAPH} SELECT doc_id, no::INT AS sentence_no, frame_no, mention_no::INT AS mention_no, role, role_ordinal::INT AS role_ordinal, filler AS name, lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normalized_name, 'frame[0.0]/' || role || '[' || role_ordinal || ']' AS path,
+    "q_doc_graph_mentions": f"""{DOCGRAPH} SELECT doc_id, no::INT AS sentence_no, frame_no, frame_type, factuality, mention_no::INT AS mention_no, role, role_ordinal::INT AS role_ordinal, filler AS name, lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normalized_name, 'frame[0.0]/' || role || '[' || role_ordinal || ']' AS path,
       CASE WHEN n > 1 THEN 'Discontinuous' ELSE 'Exact' END AS anchor, begin_ AS start_byte, begin_ + strlen(regexp_replace(filler, '{BLANK}+$', '')) AS end_byte, greatest(n, 1)::INT AS spans FROM roles""",
     "q_doc_graph_summary": f"{DOCGRAPH} SELECT doc_id, 'node' AS element, kind, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT doc_id, 'edge', kind, count(*) FROM edges GROUP BY ALL",
     "q_doc_graph_outgoing": f"""{DOCGRAPH} SELECT doc_id, src AS node_id, (row_number() OVER (PARTITION BY doc_id, src ORDER BY edge_no) - 1)::INT AS place, edge_no, dst AS other, kind, 'src' AS side FROM edges
@@ -590,6 +638,14 @@ SQL = {
     "q_doc_graph_errors": f"""{DOCGRAPH}, lost AS (SELECT doc_id, max(ordinal) AS no FROM nodes WHERE kind = 'sentence' GROUP BY doc_id), cut AS (
         SELECT doc_id, node_id FROM nodes JOIN lost USING (doc_id) WHERE kind IN ('sentence', 'unresolved') AND sentence_no = no UNION ALL SELECT doc_id, node_id FROM nodes WHERE kind = 'block' AND ordinal = 0)
       SELECT DISTINCT c.doc_id, 'DanglingEdge' AS error, c.node_id AS subject FROM cut c JOIN edges e ON e.doc_id = c.doc_id AND c.node_id IN (e.src, e.dst) UNION ALL SELECT doc_id, 'UncoveredBytes', strlen(text)::VARCHAR FROM documents WHERE text <> ''""",
+    "q_doc_occurrences": f"""{OCCURRENCES} SELECT doc_id, occ_no, no::INT AS sentence_no, frame_no, subject, pred_kind, predicate, object, factuality, world, 700 AS confidence_milli, evidence,
+      array_to_string(list_transform(spans, lambda x: x.a || '-' || x.b), ',') AS spans FROM occ""",
+    "q_doc_claims": f"{OCCURRENCES} SELECT doc_id, no::INT AS sentence_no, subject, pred_kind, predicate, object, factuality, world, status, occurrences, 700 AS confidence_milli FROM claims_",
+    "q_doc_knowledge_summary": f"""{OCCURRENCES} SELECT * FROM (SELECT doc_id, count(*) AS occurrences, sum((len(spans) > 0)::INT)::BIGINT AS with_evidence, sum((factuality = 'Questioned')::INT)::BIGINT AS questioned, sum((factuality = 'Negated')::INT)::BIGINT AS negated FROM occ GROUP BY doc_id)
+      JOIN (SELECT doc_id, count(*) AS claims, sum((status = 'Contested')::INT)::BIGINT AS contested FROM claims_ GROUP BY doc_id) USING (doc_id)""",
+    "q_doc_knowledge_errors": f"{OCCURRENCES} SELECT doc_id, 'MissingClaim' AS error, occ_no::VARCHAR AS subject FROM occ JOIN (SELECT doc_id, max(no) AS no FROM occ GROUP BY doc_id) USING (doc_id, no)",
+    "q_claim_evidence_detail": f"{OCCURRENCES} SELECT status, doc_id, o.occ_no, x.a AS start_byte, x.b AS end_byte, title, source AS uri, revision FROM (SELECT *, unnest(spans) AS x FROM occ) o JOIN claims_ c USING (doc_id, no, subject, pred_kind, predicate, object) JOIN documents USING (doc_id)",
+    "q_source_sentence_fallback": f"WITH {SENTENCES} SELECT doc_id, min(ordinal)::INT AS ordinal, arg_min(sentence, ordinal) AS sentence FROM sentences WHERE contains(lower(sentence), 'ferry') AND contains(lower(sentence), 'town') GROUP BY doc_id",
     "q_ontology_closure": f"WITH RECURSIVE {GRAPH}, closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON c.dst = e.src) SELECT DISTINCT src, dst FROM closed",
     "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
     "q_temporal_conflicts": f"WITH RECURSIVE {ONTOLOGY} SELECT DISTINCT a.src, a.dst FROM closed a JOIN closed b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst",
