@@ -129,3 +129,50 @@ def new_words(documents: DataFrame, known: DataFrame) -> DataFrame:
     found = documents.select("doc_id", F.explode(words(F.col("text"))).alias("word")).where((F.octet_length("word") > 2) & F.col("word").rlike(r"^[\p{L}\p{N}]+$"))
     per = found.groupBy("word").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses"))
     return per.join(known.select(F.col("form").alias("word")).distinct(), "word", "left_anti")
+
+
+def metric_rows(df: DataFrame, case: str, metrics: dict[tuple[str, str], tuple[Column, Column]]) -> DataFrame:
+    """(case_id, metric_group, metric, numerator, denominator, value, status) of every metric of every case.
+
+    A metric is a numerator over a denominator; over 0 it is 1 and Empty, with a
+    null part null and Unavailable, else Exact.
+    """
+    one = [F.struct(F.lit(g).alias("metric_group"), F.lit(m).alias("metric"), n.cast("double").alias("numerator"), d.cast("double").alias("denominator")) for (g, m), (n, d) in metrics.items()]
+    rows = df.select(F.col(case).alias("case_id"), F.inline(F.array(*one)))
+    missing = F.col("numerator").isNull() | F.col("denominator").isNull()
+    value = F.when(missing, None).when(F.col("denominator") == 0, 1.0).otherwise(F.round(F.col("numerator") / F.col("denominator"), 6))
+    return rows.withColumn("value", value).withColumn("status", F.when(missing, "Unavailable").when(F.col("denominator") == 0, "Empty").otherwise("Exact"))
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """Metric rows below 0.9 with their severity: fatal below 0.25, major below 0.6, else minor."""
+    return rows.where("value < 0.9").withColumn("severity", F.when(F.col("value") < 0.25, "fatal").when(F.col("value") < 0.6, "major").otherwise("minor"))
+
+
+def metric_summary(rows: DataFrame) -> DataFrame:
+    """Per metric: cases, mean, least value and failures of each severity."""
+    per = rows.groupBy("metric_group", "metric").agg(F.count("value").alias("cases"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"))
+    n = lambda s: F.sum((F.col("severity") == s).cast("int"))
+    bad = failures(rows).groupBy("metric_group", "metric").agg(n("fatal").alias("fatal"), n("major").alias("major"), n("minor").alias("minor"))
+    return per.join(bad, ["metric_group", "metric"], "left").na.fill(0, ["fatal", "major", "minor"])
+
+
+def top_failures(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` worst rows: fatal before major before minor, then by value, metric and case."""
+    rank = F.when(F.col("severity") == "fatal", 0).when(F.col("severity") == "major", 1).otherwise(2)
+    return failures(rows).orderBy(rank, "value", "metric_group", "metric", "case_id").limit(n)
+
+
+def concept_by_label(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """(word, concept, score): the concept whose label equals a word, capitals aside, at 0.9; the least id if several do."""
+    named = entries.where("label IS NOT NULL").groupBy(F.upper("label").alias("key")).agg(F.min("id").alias("concept"))
+    return words.withColumn("key", F.upper("word")).join(named, "key").select("word", "concept", F.lit(0.9).alias("score"))
+
+
+def year_numbers(tokens: DataFrame, reach: int = 2) -> DataFrame:
+    """(doc_id, position, token, score): numbers with ``age`` or ``year`` at most ``reach`` words away mean a year, at 0.75.
+
+    Each cue word marks its neighbours' places, which are then joined; no token meets all others.
+    """
+    near = tokens.where(F.col("token").rlike("^(age|ages|year|years|rok|roku|lat|lata)$")).select("doc_id", F.explode(F.array(*[F.col("position") + k for k in range(-reach, reach + 1) if k])).alias("position")).distinct()
+    return tokens.where(F.col("token").rlike("^[0-9]+$")).join(near, ["doc_id", "position"], "left_semi").select("doc_id", "position", "token", F.lit(0.75).alias("score"))

@@ -125,3 +125,32 @@ def recent(mentions: DataFrame, by: str, order: str, window: int, kind: Column |
     """The last ``window`` mentions of each group, the newest first; of them those of a kind, if one is asked for."""
     rows = newest(mentions, [by], order, window)
     return rows if kind is None else rows.where(kind)
+
+
+def coordination_groups(tokens: DataFrame, conjunctions: list[str]) -> DataFrame:
+    """(doc_id, begin, members, agreement): words joined by conjunctions (``a and b and c``), at least two; the agreement is plural.
+
+    ``tokens``: doc_id, position, token. A chain is an island of the positions of its conjunctions, two apart.
+    """
+    w = Window.partitionBy("doc_id").orderBy("position")
+    near = tokens.withColumn("left", F.lag("token").over(w)).withColumn("right", F.lead("token").over(w))
+    joins = near.where(F.col("token").isin(conjunctions) & F.col("left").isNotNull() & F.col("right").isNotNull() & ~F.col("left").isin(conjunctions) & ~F.col("right").isin(conjunctions))
+    runs = joins.withColumn("new", F.coalesce((F.col("position") - F.lag("position").over(w) != 2).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w))
+    made = runs.groupBy("doc_id", "island").agg((F.min("position") - 1).alias("begin"), F.array_sort(F.collect_list(F.struct("position", "left", "right"))).alias("c"))
+    members = F.concat(F.array(F.element_at("c", 1).left), F.transform("c", lambda x: x.right))
+    return made.select("doc_id", "begin", F.array_join(members, "|").alias("members"), F.size(members).alias("size"), F.lit("Plural").alias("agreement"))
+
+
+def evoked(tokens: DataFrame, lexicon: DataFrame, parents: DataFrame) -> DataFrame:
+    """(src, dst, kind): word to the concept of its form (evokes), and each of those concepts to its parent (is_a)."""
+    words = tokens.select("token").distinct().join(lexicon.select(F.col("form").alias("token"), "concept").distinct(), "token")
+    evokes = words.select(F.col("token").alias("src"), F.col("concept").alias("dst"), F.lit("evokes").alias("kind"))
+    is_a = words.select("concept").distinct().join(parents.select(F.col("id").alias("concept"), "parent"), "concept").where("parent IS NOT NULL").select(F.col("concept").alias("src"), F.col("parent").alias("dst"), F.lit("is_a").alias("kind"))
+    return evokes.unionByName(is_a)
+
+
+def find(tokens: DataFrame, lexicon: DataFrame, what: str) -> DataFrame:
+    """Tokens whose concept, lemma or form is ``what``, case aside."""
+    wanted = what.lower()
+    hit = lexicon.where((F.lower("concept") == wanted) | (F.lower("lemma") == wanted) | (F.lower("form") == wanted)).select(F.col("form").alias("token")).distinct()
+    return tokens.join(hit.unionByName(tokens.sparkSession.createDataFrame([(wanted,)], "token string")).distinct(), "token", "left_semi")

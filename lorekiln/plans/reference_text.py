@@ -9,7 +9,7 @@ from lorekiln.operators import claims as C
 from lorekiln.operators import evaluate as E
 from lorekiln.operators import frames as P
 from lorekiln.operators import graph as G
-from lorekiln.operators import docgraph, hierarchy, lexicon, resolve, segment
+from lorekiln.operators import docgraph, generate, hierarchy, lexicon, resolve, segment
 from lorekiln.operators import knowledge as K
 from lorekiln.operators import temporal as T
 from lorekiln.session import store as store_table
@@ -287,6 +287,111 @@ def q_source_sentence_fallback(spark, sf):
     return C.fallback_sentences(_sentences(spark, sf), ["ferry", "town"])
 
 
+def _framed(spark, sf):
+    return store_table(docgraph.sentence_frames(docgraph.document_sentences(_documents(spark, sf))), "framed-sentences")
+
+
+def q_translated_sentences(spark, sf):
+    return generate.translated_sentences(_framed(spark, sf), "pl").select("doc_id", "sentence_no", "target", "status")
+
+
+def q_translated_documents(spark, sf):
+    return generate.translated_documents(_documents(spark, sf), generate.translated_sentences(_framed(spark, sf), "en", "Placeholder"))
+
+
+def q_translation_errors(spark, sf):
+    """Checks of a translation whose generated sentences have lost their last letter, its first sentences left out."""
+    framed = _framed(spark, sf)
+    broken = generate.translated_sentences(framed, "pl").withColumn("target", F.expr("left(target, length(target) - 1)")).where("sentence_no > 0")
+    return generate.translation_errors(framed, broken)
+
+
+def q_doc_diagnostics(spark, sf):
+    return P.diagnostics(_framed(spark, sf))
+
+
+def q_doc_inspection(spark, sf):
+    return P.inspection(_framed(spark, sf))
+
+
+def _number_compiler(text: str) -> str | None:
+    """A compiler that knows only whole numbers and fails on decimals."""
+    found = [w.strip(".,;:!?()") for w in text.split()]
+    found = [w for w in found if w[:1].isascii() and w[:1].isdigit()]
+    return "+".join(str(int(w)) for w in found) if found else None
+
+
+def q_compile_isolation(spark, sf):
+    """Sentences through a compiler that fails on many: each failure is a row of its own."""
+    done = P.compile_sentences(_framed(spark, sf), _number_compiler)
+    return done.groupBy("status").agg(F.count("*").alias("sentences"), F.count("payload").alias("payloads"), F.count("error").alias("errors"))
+
+
+def q_event_profiles(spark, sf):
+    return P.event_profiles(docgraph.build(_documents(spark, sf))[2])
+
+
+def _metrics(spark, sf):
+    t, title = F.col("text"), F.col("title")
+    docs = _documents(spark, sf).where("text IS NOT NULL")
+    a, b = F.size(segment.rule_sentences(t)), F.size(segment.simple_sentences(t))
+    words = lexicon.words(t)
+    return E.metric_rows(docs, "doc_id", {
+        ("segmentation", "sentence_ratio"): (F.least(a, b), F.greatest(a, b)), ("lexical", "title_overlap"): (F.size(F.array_intersect(F.array_distinct(lexicon.words(title)), words)), F.size(F.array_distinct(lexicon.words(title)))),
+        ("lexical", "distinct_words"): (F.size(F.array_distinct(words)), F.size(words)), ("source", "length_kept"): (F.least(F.col("n_chars"), F.length(t)), F.greatest(F.col("n_chars"), F.length(t))),
+    })
+
+
+def q_metric_rows(spark, sf):
+    return _metrics(spark, sf)
+
+
+def q_metric_summary(spark, sf):
+    return E.metric_summary(_metrics(spark, sf))
+
+
+def q_top_failures(spark, sf):
+    return E.top_failures(_metrics(spark, sf)).select("case_id", "metric_group", "metric", "value", "severity")
+
+
+def q_eval_answers(spark, sf):
+    """Test items by whether the expected answer is one of the entities' names, its symmetric length ratio to the text, and a role signature."""
+    names = table(spark, sf, "entity_ref").select(F.lower("canonical_name").alias("k")).distinct()
+    items = table(spark, sf, "eval_item").withColumn("k", F.lower("expected_answer")).join(names.withColumn("known", F.lit(True)), "k", "left")
+    return items.select(
+        "item_id", E.exact_match(F.col("expected_answer"), F.array(F.coalesce(F.when(F.col("known"), F.concat(F.lit(" "), F.upper("k"), F.lit("."))), F.lit("?")))).alias("matches"),
+        F.round(E.symmetric_ratio(F.length("text"), F.coalesce(F.length("expected_answer"), F.lit(0))), 6).alias("ratio"),
+        E.role_signature(F.coalesce("expected_predicate", F.lit("none")), F.array(F.struct(F.lit("Object").alias("role"), F.coalesce("expected_answer", F.lit("?")).alias("filler")), F.struct(F.lit("Lang").alias("role"), F.col("lang").alias("filler")))).alias("signature"),
+    )
+
+
+def q_coordination_groups(spark, sf):
+    return G.coordination_groups(lexicon.token_rows(_documents(spark, sf)), ["and", "oraz", "und"])
+
+
+def q_concept_by_label(spark, sf):
+    """The texts' words and the labels of the ontology as they stand, each in lower case, against the labels."""
+    entries = current_rows(table(spark, sf, "ontology_entry"), "id", ["revision", "ingested_at"], ["label"])
+    words = lexicon.token_rows(_documents(spark, sf)).select(F.col("token").alias("word")).unionByName(table(spark, sf, "ontology_entry").where("label IS NOT NULL").select(F.lower("label").alias("word"))).distinct()
+    return E.concept_by_label(words, entries)
+
+
+def q_year_numbers(spark, sf):
+    return E.year_numbers(lexicon.token_rows(_documents(spark, sf)))
+
+
+CONCEPTS = [("ACT", "EVENT"), ("REL", "TOP"), ("DET", "TOP"), ("THING", "ENTITY"), ("PLACE", "ENTITY"), ("GROUP", "ENTITY"), ("TIME", "ENTITY"), ("ENTITY", "TOP"), ("EVENT", "TOP")]
+
+
+def q_concept_edges(spark, sf):
+    """Words of the lexicon to their concepts, and those to their parents."""
+    return G.evoked(lexicon.token_rows(_documents(spark, sf)), _lexicon(spark), spark.createDataFrame(CONCEPTS, "id string, parent string"))
+
+
+def q_find_tokens(spark, sf):
+    return G.find(lexicon.token_rows(_documents(spark, sf)), _lexicon(spark), "Act").groupBy("token").agg(F.count("*").alias("uses"))
+
+
 def q_ontology_closure(spark, sf):
     return G.closure(_graph(spark, sf)[1])
 
@@ -557,6 +662,14 @@ OCCURRENCES = f"""{DOCGRAPH}, rules AS (SELECT * FROM (VALUES {', '.join(str(r)
   told AS (SELECT doc_id, no, subject, pred_kind, predicate, object, arg_min(factuality, occ_no) AS factuality, arg_min(world, occ_no) AS world, min(occ_no) AS occ_no, count(*) AS occurrences FROM occ GROUP BY doc_id, no, subject, pred_kind, predicate, object),
   bad AS (SELECT subject, pred_kind, predicate, world FROM told GROUP BY ALL HAVING count(*) >= 2 AND (bool_or(factuality = 'Negated') OR predicate IN ('CAPITAL_OF', 'POPULATION', 'DATE_OF') AND count(DISTINCT object) > 1)),
   claims_ AS (SELECT t.*, CASE WHEN b.subject IS NOT NULL THEN 'Contested' WHEN factuality = 'Asserted' THEN 'Supported' WHEN factuality = 'Negated' THEN 'Contradicted' ELSE 'NonFactual' END AS status FROM told t LEFT JOIN bad b ON b.subject = t.subject AND b.pred_kind = t.pred_kind AND b.predicate = t.predicate AND b.world = t.world)"""
+def _realised_sql(language: str) -> str:
+    out = []
+    for frame, pattern in generate.PATTERNS[language].items():
+        parts = [x for t, k in generate._parts(pattern) for x in ([f"'{t}'"] if t else []) + ([f"nullif(roles[{k}].filler, '')"] if k else [])]
+        out.append(f"WHEN '{frame}' THEN {' || '.join(parts)}")
+    return f"CASE frame_type {' '.join(out)} END"
+
+
 OPENED = "(^|[\\s(\\[{\"“„])"
 
 
@@ -574,6 +687,10 @@ def _rules_sql() -> str:
     return f"list_filter(list_transform(string_split({out}, '{chr(2)}'), lambda x: regexp_replace(replace(x, '{chr(1)}', '.'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 
 
+METRICS = f"""WITH w AS (SELECT doc_id, n_chars, length(text) AS n, {WORDS.format('text')} AS t, list_distinct({WORDS.format('title')}) AS h, len({_rules_sql()}) AS a, len({SIMPLE.format('text')}) AS b FROM documents WHERE text IS NOT NULL),
+  parts AS (SELECT doc_id AS case_id, unnest([{{'g': 'segmentation', 'm': 'sentence_ratio', 'x': least(a, b)::DOUBLE, 'y': greatest(a, b)::DOUBLE}}, {{'g': 'lexical', 'm': 'title_overlap', 'x': len(list_intersect(h, t))::DOUBLE, 'y': len(h)::DOUBLE}},
+    {{'g': 'lexical', 'm': 'distinct_words', 'x': len(list_distinct(t))::DOUBLE, 'y': len(t)::DOUBLE}}, {{'g': 'source', 'm': 'length_kept', 'x': CASE WHEN n_chars IS NOT NULL THEN least(n_chars, n) ELSE n END::DOUBLE, 'y': coalesce(greatest(n_chars, n), n)::DOUBLE}}]) AS p FROM w),
+  rows_ AS (SELECT case_id, p.g AS metric_group, p.m AS metric, p.x AS numerator, p.y AS denominator, CASE WHEN p.x IS NULL OR p.y IS NULL THEN NULL WHEN p.y = 0 THEN 1.0 ELSE round(p.x / p.y, 6) END AS value, CASE WHEN p.x IS NULL OR p.y IS NULL THEN 'Unavailable' WHEN p.y = 0 THEN 'Empty' ELSE 'Exact' END AS status FROM parts)"""
 CARDINAL_SQL = "CASE token " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lexicon.CARDINALS.items()) + " ELSE CASE WHEN regexp_matches(token, '^[0-9]+$') THEN try_cast(token AS INT) END END"
 DAYS_SQL = "CASE token " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lexicon.DEICTIC.items()) + " END"
 CUE_SQL = "CASE cue " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.CUES.items()) + " END"
@@ -646,6 +763,38 @@ SQL = {
     "q_doc_knowledge_errors": f"{OCCURRENCES} SELECT doc_id, 'MissingClaim' AS error, occ_no::VARCHAR AS subject FROM occ JOIN (SELECT doc_id, max(no) AS no FROM occ GROUP BY doc_id) USING (doc_id, no)",
     "q_claim_evidence_detail": f"{OCCURRENCES} SELECT status, doc_id, o.occ_no, x.a AS start_byte, x.b AS end_byte, title, source AS uri, revision FROM (SELECT *, unnest(spans) AS x FROM occ) o JOIN claims_ c USING (doc_id, no, subject, pred_kind, predicate, object) JOIN documents USING (doc_id)",
     "q_source_sentence_fallback": f"WITH {SENTENCES} SELECT doc_id, min(ordinal)::INT AS ordinal, arg_min(sentence, ordinal) AS sentence FROM sentences WHERE contains(lower(sentence), 'ferry') AND contains(lower(sentence), 'town') GROUP BY doc_id",
+    "q_translated_sentences": f"""{DOCGRAPH} SELECT doc_id, no::INT AS sentence_no, coalesce({_realised_sql('pl')} || regexp_extract(s, '[.!?…]*$'), s) AS target, CASE WHEN {_realised_sql('pl')} IS NULL THEN 'CopySource' ELSE 'Generated' END AS status FROM framed""",
+    "q_translated_documents": f"""{DOCGRAPH}, t AS (SELECT doc_id, no, a, b, coalesce({_realised_sql('en')} || regexp_extract(s, '[.!?…]*$'), '[[' || no || ']]') AS target, {_realised_sql('en')} IS NOT NULL AS made, lag(b) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM framed)
+      SELECT d.doc_id, coalesce(string_agg(decode(array_slice(encode(text), coalesce(before, 0) + 1, a)) || target, '' ORDER BY no), '') || decode(array_slice(encode(any_value(text)), coalesce(max(b), 0) + 1, strlen(any_value(text)))) AS text, coalesce(sum(made::INT), 0)::BIGINT AS generated, coalesce(sum((NOT made)::INT), 0)::BIGINT AS copied
+      FROM documents d LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL GROUP BY d.doc_id""",
+    "q_translation_errors": f"""{DOCGRAPH}, t AS (SELECT doc_id, no, s, {_realised_sql('pl')} AS made, regexp_extract(s, '[.!?…]*$') AS mark FROM framed), u AS (SELECT *, left(coalesce(made || mark, s), length(coalesce(made || mark, s)) - 1) AS target FROM t)
+      SELECT doc_id, no::INT AS sentence_no, 'MissingSentence' AS error FROM t WHERE no = 0 UNION ALL SELECT doc_id, no, 'EmptyTarget' FROM u WHERE no > 0 AND trim(target, ' ') = '' UNION ALL SELECT doc_id, no, 'ChangedCopy' FROM u WHERE no > 0 AND made IS NULL
+      UNION ALL SELECT doc_id, no, 'LostMark' FROM u WHERE no > 0 AND made IS NOT NULL AND mark <> '' AND NOT suffix(target, mark)""",
+    "q_doc_diagnostics": f"""{DOCGRAPH}, c AS (SELECT doc_id, no, unnest(list_filter([
+        CASE WHEN NOT regexp_matches(s, '[.!?…]["''”’»)\\]}}]*$') THEN {{'a': 0, 'b': 2, 'stage': 'segmentation', 'severity': 'info', 'code': 'NoTerminal'}} END, CASE WHEN len(regexp_split_to_array(s, '[ \\t\\n\\r\\f]+')) > 40 THEN {{'a': 0, 'b': 1, 'stage': 'segmentation', 'severity': 'warning', 'code': 'LongSentence'}} END,
+        CASE WHEN frame_type IS NULL THEN {{'a': 1, 'b': 1, 'stage': 'parse', 'severity': 'warning', 'code': 'UnresolvedSentence'}} END, CASE WHEN len(list_filter(roles, lambda r: r.filler = '')) > 0 THEN {{'a': 2, 'b': 0, 'stage': 'semantics', 'severity': 'error', 'code': 'EmptyRole'}} END,
+        CASE WHEN len(list_distinct(list_transform(roles, lambda r: lower(r.filler)))) < len(roles) THEN {{'a': 2, 'b': 1, 'stage': 'semantics', 'severity': 'warning', 'code': 'RepeatedFiller'}} END, CASE WHEN frame_type IS NOT NULL AND suffix(s, '?') THEN {{'a': 2, 'b': 2, 'stage': 'semantics', 'severity': 'info', 'code': 'QuestionFrame'}} END],
+        lambda x: x IS NOT NULL)) AS d FROM framed) SELECT doc_id, no::INT AS sentence_no, d.stage AS stage, d.severity AS severity, d.code AS code, (row_number() OVER (PARTITION BY doc_id, no ORDER BY d.a, d.b, d.code) - 1)::INT AS place FROM c""",
+    "q_doc_inspection": f"""{DOCGRAPH} SELECT a.*, coalesce(fillers, 0) AS fillers FROM (SELECT doc_id, count(*) AS sentences, count(frame_type) AS frames, sum(suffix(s, '?')::INT)::BIGINT AS questions, count(DISTINCT frame_type) AS frame_types, sum(coalesce(len(roles), 0))::BIGINT AS roles FROM framed GROUP BY doc_id) a
+      LEFT JOIN (SELECT doc_id, count(DISTINCT lower(filler)) AS fillers FROM roles GROUP BY doc_id) b USING (doc_id)""",
+    "q_event_profiles": f"""{DOCGRAPH} SELECT doc_id, frame_no AS event_no, no::INT AS sentence_no, frame_type, CASE WHEN factuality = 'Negated' THEN 'Negative' ELSE 'Positive' END AS polarity, factuality = 'Questioned' AS asked, count(*) AS participants, string_agg(lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '|' ORDER BY role_ordinal) AS names
+      FROM roles GROUP BY doc_id, frame_no, no, frame_type, factuality""",
+    "q_metric_rows": f"{METRICS} SELECT * FROM rows_",
+    "q_metric_summary": f"""{METRICS} SELECT metric_group, metric, count(value) AS cases, round(avg(value), 6) AS mean, min(value) AS least, sum((value < 0.25)::INT)::BIGINT AS fatal, sum((value >= 0.25 AND value < 0.6)::INT)::BIGINT AS major, sum((value >= 0.6 AND value < 0.9)::INT)::BIGINT AS minor FROM rows_ GROUP BY ALL""",
+    "q_top_failures": f"{METRICS} SELECT case_id, metric_group, metric, value, CASE WHEN value < 0.25 THEN 'fatal' WHEN value < 0.6 THEN 'major' ELSE 'minor' END AS severity FROM rows_ WHERE value < 0.9 ORDER BY CASE WHEN value < 0.25 THEN 0 WHEN value < 0.6 THEN 1 ELSE 2 END, value, metric_group, metric, case_id LIMIT 5",
+    "q_eval_answers": r"""WITH n AS (SELECT DISTINCT lower(canonical_name) AS k FROM entity_ref), i AS (SELECT e.*, n.k AS known FROM eval_item e LEFT JOIN n ON n.k = lower(expected_answer))
+      SELECT item_id, CASE WHEN expected_answer IS NULL THEN NULL ELSE known IS NOT NULL END AS matches, round(least(length(text), coalesce(length(expected_answer), 0)) / greatest(length(text), coalesce(length(expected_answer), 0)), 6) AS ratio,
+        coalesce(expected_predicate, 'none') || '(' || array_to_string(list_sort(['Object=' || coalesce(expected_answer, '?') || CASE WHEN regexp_matches(coalesce(expected_answer, '?'), '^\p{Lu}') THEN '!' ELSE '' END, 'Lang=' || lang || CASE WHEN regexp_matches(lang, '^\p{Lu}') THEN '!' ELSE '' END]), ',') || ')' AS signature FROM i""",
+    "q_coordination_groups": f"""WITH {TOKENS}, n AS (SELECT *, lag(token) OVER w AS l, lead(token) OVER w AS r FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY position)), j AS (SELECT * FROM n WHERE token IN ('and', 'oraz', 'und') AND l NOT IN ('and', 'oraz', 'und') AND r NOT IN ('and', 'oraz', 'und')),
+      i AS (SELECT *, position - 2 * row_number() OVER (PARTITION BY doc_id, position % 2 ORDER BY position) AS island, position % 2 AS odd FROM j)
+      SELECT doc_id, min(position)::INT - 1 AS begin, arg_min(l, position) || '|' || string_agg(r, '|' ORDER BY position) AS members, (count(*) + 1)::INT AS size, 'Plural' AS agreement FROM i GROUP BY doc_id, odd, island""",
+    "q_concept_by_label": f"""WITH {TOKENS}, c AS (SELECT * FROM ontology_entry WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC NULLS LAST, ingested_at DESC NULLS LAST) = 1)
+      SELECT word, min(id) AS concept, 0.9::DOUBLE AS score FROM (SELECT token AS word FROM tokens UNION SELECT lower(label) FROM ontology_entry WHERE label IS NOT NULL) JOIN c ON upper(label) = upper(word) GROUP BY word""",
+    "q_year_numbers": f"""WITH {TOKENS}, y AS (SELECT doc_id, position FROM tokens WHERE regexp_matches(token, '^(age|ages|year|years|rok|roku|lat|lata)$'))
+      SELECT doc_id, position::INT AS position, token, 0.75::DOUBLE AS score FROM tokens t WHERE regexp_matches(token, '^[0-9]+$') AND EXISTS (FROM y WHERE y.doc_id = t.doc_id AND abs(y.position - t.position) BETWEEN 1 AND 2)""",
+    "q_concept_edges": f"""WITH {LEX}, {TOKENS}, p AS (SELECT * FROM (VALUES {', '.join(str(c) for c in CONCEPTS)}) AS p(id, parent)), w AS (SELECT DISTINCT token, concept FROM tokens JOIN lex ON form = token)
+      SELECT token AS src, concept AS dst, 'evokes' AS kind FROM w UNION ALL SELECT DISTINCT concept, parent, 'is_a' FROM w JOIN p ON id = concept""",
+    "q_find_tokens": f"WITH {LEX}, {TOKENS} SELECT token, count(*) AS uses FROM tokens WHERE token = 'act' OR token IN (SELECT form FROM lex WHERE lower(concept) = 'act' OR lower(lemma) = 'act') GROUP BY token",
     "q_ontology_closure": f"WITH RECURSIVE {GRAPH}, closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON c.dst = e.src) SELECT DISTINCT src, dst FROM closed",
     "q_temporal_closure": f"WITH RECURSIVE {ONTOLOGY.replace('closed AS', 'turned AS (SELECT CASE WHEN ascii(src) % 2 = 0 THEN dst ELSE src END AS src, CASE WHEN ascii(src) % 2 = 0 THEN src ELSE dst END AS dst FROM steps), closed AS').replace('FROM steps UNION', 'FROM turned UNION').replace('JOIN steps s', 'JOIN turned s')} SELECT DISTINCT src, dst FROM closed",
     "q_temporal_conflicts": f"WITH RECURSIVE {ONTOLOGY} SELECT DISTINCT a.src, a.dst FROM closed a JOIN closed b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst",
