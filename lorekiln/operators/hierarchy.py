@@ -13,7 +13,7 @@ pointer doubling, so the number of rounds is the logarithm of the depth:
    siblings (prefix sums of sizes); numbers are offsets summed along the chain,
    again by doubling. Siblings are ordered by a hash bucket and then by id, so
    that the prefix sum of a node with a third of all rows as its children is
-   split over SALTS tasks.
+   split over as many tasks as it asks for.
 4. Ancestors and descendants are comparisons of ranges. They are joined block by
    block of BLOCK preorder numbers: a block holds its own nodes and those
    ancestors that begin before it and reach into it.
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from lorekiln.session import cut
 from lorekiln.sources.tables import current_rows
 
-SALTS = 64
+#: Children that one hash bucket of a family holds about; the number of buckets follows from that of the nodes.
+BUCKET_ROWS = 200_000
 BLOCK = 4096
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -112,7 +113,7 @@ def cycles(unprocessed: DataFrame) -> DataFrame:
 
 def preorder(sized: DataFrame) -> DataFrame:
     """(id, depth, root, size, low): ``[low, low + size)`` is the range of the subtree, unique over all trees."""
-    salted = sized.select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    salted = sized.select("*", F.pmod(F.xxhash64("id"), F.lit(64 + sized.count() // BUCKET_ROWS)).alias("salt"))
     family = ["parent", "salt"]
     by_salt = salted.groupBy(*family).agg(F.sum("size").alias("block"))
     before = by_salt.withColumn("skip", F.sum("block").over(Window.partitionBy("parent").orderBy("salt")) - F.col("block")).drop("block")
