@@ -13,14 +13,15 @@ however many texts. On these counts
 
 Equal containers are planned together as one pattern with a number of repeats,
 so the plan is bounded by the capacity too. The items are then numbered within
-their size (over SALTS hash buckets, so that a size that a third of all texts
-share is no single task) and find their container by number.
+their size (over hash buckets, as many as the rows ask for, so that a size
+that a third of all texts share is no single task) and find their container by number.
 
 A text larger than the capacity is split into full containers and a rest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,22 +32,27 @@ from pyspark.sql import functions as F
 
 from lorekiln.session import store
 
-SALTS = 64
+#: Rows that one hash bucket of a size holds about; the number of buckets follows from that of the rows.
+BUCKET_ROWS = 200_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern that splits text before the merges of the rank file.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of every text, in tokens of the rank file at ``tokenizer``; null and empty texts have 0."""
+    """(doc_id, tokens) of every text, in tokens of the rank file at ``tokenizer``; null and empty texts have 0.
+
+    The driver reads the file (about a megabyte) and ships it with the job.
+    """
+    with open(tokenizer, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
@@ -69,17 +75,32 @@ class Counts:
             if not 0 < size <= capacity:
                 raise ValueError(f"size {size} doesn't fit {capacity}")
             self.n[size] += k
+        # the next size at or below (above) each that isn't used up; items only ever go, so links only ever grow
+        self.down = list(range(capacity + 3))
+        self.up = list(range(capacity + 3))
+
+    def _next(self, link: list[int], at: int, step: int) -> int:
+        """Follow the links from a size to the next with items (0 or the end if none), shortening them on the way."""
+        n, end, to = self.n, len(self.n) - 1, at
+        while 0 < to < end and not n[to]:
+            if link[to] == to:
+                link[to] = to + step
+            to = link[to]
+        while at != to and 0 < at < end:
+            link[at], at = to, link[at]
+        return to
 
     def largest(self, most: int) -> int:
         """The largest size there is up to ``most``, or 0."""
-        at = np.flatnonzero(self.n[: max(0, most) + 1])
-        return int(at[-1]) if len(at) else 0
+        return max(0, self._next(self.down, min(most, len(self.n) - 2), -1)) if most > 0 else 0
 
     def smallest(self, k: int, above: int = 0, without: int = 0) -> list[int]:
         """The k smallest items above a size, one item of ``without`` left out."""
         out: list[int] = []
-        for size in np.flatnonzero(self.n[above + 1 :])[: k + 1] + above + 1:
-            out += [int(size)] * int(min(k + 1, self.n[size] - (size == without)))
+        size, end = self._next(self.up, above + 1, 1), len(self.n) - 1
+        while size < end and len(out) < k:
+            out += [size] * int(min(k, self.n[size] - (size == without)))
+            size = self._next(self.up, size + 1, 1)
         return out[:k]
 
     def take(self, sizes: list[int], once: bool = False) -> Pattern | None:
@@ -96,8 +117,9 @@ class Counts:
 
 def best_pair(c: Counts, space: int, largest_item: int) -> tuple[int, int]:
     """The two items (beside one of ``largest_item``) with the greatest sum up to ``space``; (0, 0) if none."""
-    n = c.n.copy()
-    n[largest_item] -= 1
+    n = c.n[: space + 1].copy()
+    if largest_item <= space:
+        n[largest_item] -= 1
     there = n > 0
     below = np.maximum.accumulate(np.where(there, np.arange(len(n)), 0))
     a = np.flatnonzero(there[: space + 1])
@@ -118,9 +140,9 @@ def dominated(c: Counts, w: int, capacity: int) -> list[int] | None:
     fits = [x for k, x in enumerate(fits) if sum(fits[: k + 1]) <= space]
     if not fits:
         return [w]
-    c.n[w] -= 1
     partner = c.largest(space)
-    c.n[w] += 1
+    if partner == w and c.n[w] == 1:
+        partner = c.largest(w - 1)  # the item itself is no partner
     if partner == space or len(fits) == 1:
         return [w, partner]
     if len(fits) == 2:
@@ -154,21 +176,23 @@ def reduce(c: Counts, capacity: int) -> list[Pattern]:
 def best_fit(c: Counts, capacity: int) -> list[Pattern]:
     """Best fit, largest first; containers of equal content are handled together."""
     groups: dict[int, list[tuple[tuple, int]]] = {}  # space left -> (content as linked pairs, how many)
-    open_at = np.zeros(capacity + 1, bool)
+    spaces: list[int] = []  # those of the groups, in order
 
     def put(space: int, content: tuple, many: int) -> None:
+        if space not in groups:
+            insort(spaces, space)
         groups.setdefault(space, []).append((content, many))
-        open_at[space] = True
 
-    for w in range(capacity, 0, -1):
+    w = c.largest(capacity)
+    while w:
         n = int(c.n[w])
         while n:
-            near = np.flatnonzero(open_at[w:])
-            if len(near):
-                space = int(near[0]) + w
+            k = bisect_left(spaces, w)
+            if k < len(spaces):
+                space = spaces[k]
                 content, many = groups[space].pop()
                 if not groups[space]:
-                    open_at[space] = False
+                    del groups[space], spaces[k]
             else:
                 space, content = capacity, ()
                 many = -(-n // (capacity // w))
@@ -183,8 +207,9 @@ def best_fit(c: Counts, capacity: int) -> list[Pattern]:
             if many > full:
                 put(space, content, many - full)
         c.n[w] = 0
+        w = c.largest(w - 1)
     out = []
-    for space in groups:
+    for space in sorted(groups):
         for content, many in groups[space]:
             sizes = []
             while content:
@@ -216,9 +241,9 @@ def runs(patterns: list[Pattern]) -> list[tuple[int, int, int, int]]:
 ASSIGNED = "budget_id int, capacity_tokens int, container_id bigint, doc_id bigint, piece_no int, token_start bigint, token_end bigint"
 
 
-def _numbered(items: DataFrame) -> DataFrame:
+def _numbered(items: DataFrame, salts: int) -> DataFrame:
     """Number the items of each (budget, size) from 0, by hash bucket and id."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     group = ["budget_id", "size"]
     sizes = salted.groupBy(*group, "salt").agg(F.count("*").alias("here"))
     skip = sizes.withColumn("skip", F.sum("here").over(Window.partitionBy(*group).orderBy("salt")) - F.col("here")).drop("here")
@@ -240,6 +265,7 @@ def pack(documents: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -
     if not caps:
         return spark.createDataFrame([], ASSIGNED)
     sized = store(token_counts(documents, tokenizer), "token-counts")
+    salts = 64 + sized.count() // BUCKET_ROWS
     offers = F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).alias("capacity_tokens")) for b, c in sorted(caps.items())])
     each = sized.select("doc_id", "tokens", F.explode(offers).alias("b")).select("b.budget_id", "b.capacity_tokens", "doc_id", "tokens")
     each = each.withColumn("pieces", F.floor(F.col("tokens") / F.col("capacity_tokens"))).withColumn("size", F.col("tokens") % F.col("capacity_tokens"))
@@ -274,8 +300,8 @@ def pack(documents: DataFrame, budgets: DataFrame, tokenizer: str = TOKENIZER) -
                 names=[c.split()[0] for c in ASSIGNED.split(", ")],
             )
 
-    rest = _numbered(each.where("size > 0")).select("budget_id", "capacity_tokens", "doc_id", "tokens", "size", "number").mapInArrow(place, ASSIGNED)
-    whole = each.where("pieces > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rest = _numbered(each.where("size > 0"), salts).select("budget_id", "capacity_tokens", "doc_id", "tokens", "size", "number").mapInArrow(place, ASSIGNED)
+    whole = each.where("pieces > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     before = whole.groupBy("budget_id", "salt").agg(F.sum("pieces").alias("here"))
     before = before.withColumn("skip", F.sum("here").over(Window.partitionBy("budget_id").orderBy("salt")) - F.col("here")).drop("here")
     own = F.sum("pieces").over(Window.partitionBy("budget_id", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("pieces")
