@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -59,10 +61,33 @@ def store(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataFra
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(_release_quietly, spark)
+    _STORED.add(folder)
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Folders written by store() and not yet released.
+_STORED: set[str] = set()
+
+
+def _release_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        release(spark)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables of store(), once the results that read them are written; done at exit too. Returns how many."""
+    sc, n = spark.sparkContext, 0
+    if sc._jsc is None:
+        return 0  # stopped: the folder goes with the checkpoint folder
+    while _STORED:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 #: A key with more than this part of all rows is hot; so there are at most 1 / HOT such keys.
 HOT = 1 / 1000
 

@@ -13,3 +13,14 @@ def test_hot_join_equals_join(spark):
 def test_hot_join_empty(spark):
     left = spark.createDataFrame([], "key string, n int")
     assert hot_join(left, spark.createDataFrame([("a", 1)], "key string, v int"), ["key"]).count() == 0
+
+
+def test_stored_tables_are_released(spark):
+    import os
+
+    from lorekiln import session
+
+    stored = session.store(spark.range(5), "numbers")
+    folder = next(f for f in session._STORED if "/numbers-" in f).removeprefix("file:")
+    assert stored.count() == 5 and os.path.isdir(folder)
+    assert session.release(spark) >= 1 and not os.path.exists(folder)
