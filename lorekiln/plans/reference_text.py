@@ -209,9 +209,9 @@ def q_graph_neighbors(spark, sf):
 
 
 def q_dangling_edges(spark, sf):
-    e = table(spark, sf, "mention_resolution_profile").selectExpr("cast(mention_id AS string) AS src", "concept AS dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    n = table(spark, sf, "ontology_entry").selectExpr("id AS node_id").unionByName(e.selectExpr("src AS node_id"))
-    return G.dangling(e, n)
+    """Ontology links to parents that don't exist."""
+    links = hierarchy.parent_links(table(spark, sf, "ontology_entry"))
+    return G.dangling(links.where("parent IS NOT NULL").select(F.col("id").alias("src"), F.col("parent").alias("dst")), links.select(F.col("id").alias("node_id")))
 
 
 def q_doc_graph_nodes(spark, sf):
@@ -743,7 +743,7 @@ SQL = {
       SELECT kind, size, count(*) AS phrases FROM (SELECT doc_id, island, kind, count(*) AS size FROM i WHERE kind IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
     "q_graph_summary": f"WITH {GRAPH} SELECT 'node' AS element, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind",
     "q_graph_neighbors": f"WITH {GRAPH} SELECT node_id, sum(o)::BIGINT AS outgoing, sum(i)::BIGINT AS incoming FROM (SELECT src AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node_id",
-    "q_dangling_edges": "SELECT DISTINCT mention_id::VARCHAR AS src, concept AS dst, 'dst' AS missing FROM mention_resolution_profile WHERE mention_id IS NOT NULL AND concept IS NOT NULL AND concept NOT IN (SELECT id FROM ontology_entry WHERE id IS NOT NULL)",
+    "q_dangling_edges": f"WITH RECURSIVE {ONTOLOGY} SELECT id AS src, parent AS dst, 'dst' AS missing FROM links WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM links)",
     "q_doc_graph_nodes": f"{DOCGRAPH} SELECT * FROM nodes",
     "q_doc_graph_edges": f"{DOCGRAPH} SELECT * FROM edges",
     "q_doc_graph_mentions": f"""{DOCGRAPH} SELECT doc_id, no::INT AS sentence_no, frame_no, frame_type, factuality, mention_no::INT AS mention_no, role, role_ordinal::INT AS role_ordinal, filler AS name, lower(regexp_replace(trim(filler), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS normalized_name, 'frame[0.0]/' || role || '[' || role_ordinal || ']' AS path,
