@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.sources.tables import current_rows, table
 
-from . import langid, leakage, packing, sentences, truncation, unify
+from . import codepoints, langid, leakage, packing, sentences, truncation, unify
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,9 +87,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+# Letters with accents that print alike, other script -> Latin, and ligatures.
+ACCENTED = {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ѐ": "è", "Ѐ": "È", "ά": "á", "ί": "í", "ό": "ó", "ύ": "ú", "Ά": "Á", "Έ": "É", "Ό": "Ó"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def _unified_sql(column: str) -> str:
+    """The consistent form of a column for DuckDB, from its own normal form and lists of characters, for the scripts of the names."""
+    wide = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+    single = codepoints.LOOK_ALIKES | ACCENTED | wide
+    text = lambda values: "".join(values).replace("'", "''")
+    out = f"regexp_replace({column}, '[\\p{{Cf}}\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
+    out = f"translate(regexp_replace(regexp_replace({out}, '[\\p{{Zs}}\\t]', ' ', 'g'), '[{codepoints.HYPHENS}]', '-', 'g'), '{text(single)}', '{text(single.values())}')"
+    for a, b in LIGATURES.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
+
+
 def oracle_sql() -> dict[str, str]:
+    current = "(SELECT * FROM mention_resolution_profile WHERE mention_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC NULLS LAST, exact_surface DESC NULLS LAST) = 1)"
     judged = f"({truncation.duckdb_sql()})"
     return {
+        "p1_found": f"""WITH s AS (SELECT mention_id, 'exact_surface' AS field_name, exact_surface AS surface FROM mention_resolution_profile UNION SELECT mention_id, 'normalized_surface', normalized_surface FROM mention_resolution_profile),
+      n AS (SELECT entity_id, 'exact_surface' AS field_name, canonical_name AS name FROM entity_ref UNION ALL SELECT entity_id, 'normalized_surface', lower(canonical_name) FROM entity_ref)
+      SELECT DISTINCT mention_id, field_name, entity_id FROM (SELECT *, {_unified_sql('surface')} AS look FROM s WHERE mention_id IS NOT NULL AND surface <> '') JOIN (SELECT *, {_unified_sql('name')} AS look FROM n WHERE entity_id IS NOT NULL) USING (field_name, look) WHERE surface <> name""",
+        "p1_surface_forms": f"SELECT form, count(*) AS mentions, count(DISTINCT exact_surface) AS spellings FROM (SELECT exact_surface, {_unified_sql('exact_surface')} AS form FROM {current} WHERE exact_surface IS NOT NULL) GROUP BY form",
         "p8_found": f"SELECT DISTINCT doc_id FROM {judged} WHERE rule IS NOT NULL",
         "p8_cut_rates": truncation.SUMS_SQL.replace("{judged}", judged),
         "p8_cut_rules": f"SELECT rule, count(*) AS texts FROM {judged} GROUP BY rule",
