@@ -321,7 +321,8 @@ def entities(nodes: DataFrame) -> DataFrame:
     no_value = F.lit(None).cast("struct<field:string,scalar:string>")
     elements = _owned(_elements(nodes), around).select(*base, F.col("node_id").alias("at"), F.col("label").alias("entity"), F.col("head_path").alias("parent_path"), F.col("path").alias("child_path"), no_value.alias("value"))
     nothing = F.lit(None).cast("string")
-    values = _scalars(nodes.where("ordinal IS NULL"), around).select(*base, F.col("head_id").alias("at"), nothing.alias("entity"), nothing.alias("parent_path"), nothing.alias("child_path"), F.struct("field", "scalar").alias("value"))
+    # events, runs and stages come with the heads; the many scalars travel without them
+    values = _scalars(nodes.where("ordinal IS NULL"), around).select("event_id", nothing.alias("run_id"), nothing.alias("stage"), F.col("head_id").alias("at"), nothing.alias("entity"), nothing.alias("parent_path"), nothing.alias("child_path"), F.struct("field", "scalar").alias("value"))
     found = roots.unionByName(elements).unionByName(values).groupBy("event_id", "at").agg(
         *[F.max(c).alias(c) for c in links[1:]], F.map_from_entries(F.collect_list("value")).alias("fields")
     )
