@@ -41,11 +41,18 @@ def context_windows(documents: DataFrame, word: str, reach: int) -> DataFrame:
 
 
 def multiword_hits(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, position, form, lemma): lexicon forms of three, two or one words, the longest at each place."""
+    """(doc_id, position, form, lemma): lexicon forms of three, two or one words, the longest at each place.
+
+    Only places whose word begins a form are spread into their three forms.
+    The spread texts look small to the planner, which only knows the files, so
+    they must not be the side that is broadcast: the lexicon is, if it is marked
+    for it, else both are shuffled.
+    """
     t = documents.select("doc_id", words(F.col("text")).alias("t")).where(F.size("t") > 0)
     place = t.select("doc_id", F.posexplode(F.arrays_zip("t", F.slice("t", F.lit(2), F.size("t")).alias("u"), F.slice("t", F.lit(3), F.size("t")).alias("v"))).alias("position", "w")).select("doc_id", "position", "w.t", "w.u", "w.v")
+    begun = place.join(lexicon.select(F.substring_index("form", " ", 1).alias("t")), "t", "left_semi")
     forms = F.array(F.struct(F.lit(3).alias("n"), F.concat("t", F.lit(" "), "u", F.lit(" "), "v").alias("form")), F.struct(F.lit(2).alias("n"), F.concat("t", F.lit(" "), "u").alias("form")), F.struct(F.lit(1).alias("n"), F.col("t").alias("form")))
-    hits = place.select("doc_id", "position", F.inline(forms)).where(F.col("form").isNotNull()).join(lexicon, "form")
+    hits = begun.select("doc_id", "position", F.inline(forms)).where(F.col("form").isNotNull()).hint("merge").join(lexicon, "form")
     return hits.groupBy("doc_id", "position").agg(F.max(F.struct("n", "form", "lemma")).alias("m")).select("doc_id", "position", "m.form", "m.lemma")
 
 

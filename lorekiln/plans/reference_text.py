@@ -147,7 +147,8 @@ def q_context_window(spark, sf):
 
 
 def q_multiword_lookup(spark, sf):
-    return lexicon.multiword_hits(_documents(spark, sf), _lexicon(spark).select("form", "lemma")).groupBy("form", "lemma").agg(F.count("*").alias("uses"))
+    """Uses of the forms; the lexicon is the fixed one above, so it is broadcast."""
+    return lexicon.multiword_hits(_documents(spark, sf), F.broadcast(_lexicon(spark).select("form", "lemma"))).groupBy("form", "lemma").agg(F.count("*").alias("uses"))
 
 
 def q_lexicon_lookup(spark, sf):
