@@ -1,8 +1,8 @@
 """Entity resolution: profiles, sequential decisions per document, clusters, summaries and checks.
 
 Mentions are taken in document order; each may attach to a mention accepted
-before it. That order decides, so a document is worked through in one group
-(its size is that of one text); all documents run apart.
+before it. That order decides, so a document is worked through in one task
+(its size is that of one text); many documents share an Arrow batch.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.session import store
+
 # Word lists of the source forms.
 PRONOUNS = "i me you he him she her it we us they them ja mnie mi ty ciebie ci on go jego mu ona ją jej ono je my nas nam wy was wam oni one ich im".split()
 POSSESSIVES = "my your his her its our their swój".split()
@@ -145,14 +147,28 @@ def resolve(mentions: DataFrame, features: list[str] | None = None) -> DataFrame
     options = pa.list_(pa.struct([("target_id", pa.int64()), ("score", pa.int32())]))
     types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), options]
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["sentence"], r["mention_id"]))
-        made = list(_decide(rows, features))
+    def made(documents: list[list[dict]]) -> pa.RecordBatch:
+        rows = [r for document in documents for r in document]
         kept = [[r[c] for r in rows] for c in ("doc_id", "mention_id", "sentence", "form", "concept", "surface")]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip([*kept, *map(list, zip(*made))], types)], names=names)
+        found = zip(*(d for document in documents for d in _decide(document, features)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*kept, *map(list, found)], types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[dict] = []  # the document that the next batch may go on with
+        for batch in batches:
+            whole: list[list[dict]] = []
+            for row in batch.to_pylist():
+                if last and last[0]["doc_id"] != row["doc_id"]:
+                    whole.append(last)
+                    last = []
+                last.append(row)
+            if whole:
+                yield made(whole)
+        if last:
+            yield made([last])
 
     clean = mentions.select(*PROFILE, *features).where("doc_id IS NOT NULL AND mention_id IS NOT NULL AND sentence IS NOT NULL AND place IS NOT NULL")
-    return clean.groupBy("doc_id").applyInArrow(run, DECISIONS)
+    return clean.repartition("doc_id").sortWithinPartitions("doc_id", "sentence", "mention_id").mapInArrow(run, DECISIONS)
 
 
 def confidence(score: str = "score") -> Column:
@@ -203,26 +219,29 @@ def resolution_errors(mentions: DataFrame, decided: DataFrame) -> DataFrame:
     MissingDecision, UnknownMention, DuplicateDecision; MissingCluster and
     UnexpectedCluster by decision; UnknownTarget, LaterTarget and
     ForeignCluster for targets; ConceptMismatch with the cluster's first mention.
+    The resolution is run once and stored.
     """
     ids = ["doc_id", "mention_id"]
-    known, judged = mentions.select(*ids).distinct(), decided.select(*ids).distinct()
-    label = lambda df, error: df.select(*ids, F.lit(error).alias("error"))
+    decided = store(decided.select(*ids, "sentence", "surface", "concept", "decision", "target_id", "cluster_no"), "decided")  # several checks read it
+    n = lambda given, judged: [F.lit(given).alias("given"), F.lit(judged).alias("judged")]
+    counts = mentions.select(*ids, *n(1, 0)).unionByName(decided.select(*ids, *n(0, 1))).groupBy(*ids).agg(F.sum("given").alias("given"), F.sum("judged").alias("judged"))
+    unequal = F.col("doc_id").isNull() | F.col("mention_id").isNull()  # null ids meet nothing
     target = decided.select("doc_id", F.col("mention_id").alias("target_id"), F.col("sentence").alias("t_sentence"), F.col("cluster_no").alias("t_cluster"), F.lit(True).alias("found"))
     linked = decided.where("target_id IS NOT NULL").join(target, ["doc_id", "target_id"], "left")
     first = clusters(decided).select("doc_id", "cluster_no", F.col("concept").alias("first_concept"))
     inside = F.col("decision").isin("Seeded", "Accepted", "HardAccepted")
-    found = [
-        label(known.join(judged, ids, "left_anti"), "MissingDecision"),
-        label(judged.join(known, ids, "left_anti"), "UnknownMention"),
-        label(decided.groupBy(*ids).count().where("count > 1"), "DuplicateDecision"),
-        label(decided.where(inside & F.col("cluster_no").isNull()), "MissingCluster"),
-        label(decided.where(~inside & F.col("cluster_no").isNotNull()), "UnexpectedCluster"),
-        label(linked.where("found IS NULL"), "UnknownTarget"),
-        label(linked.where("t_sentence > sentence OR t_sentence = sentence AND target_id >= mention_id"), "LaterTarget"),
-        label(linked.where("found AND NOT t_cluster <=> cluster_no"), "ForeignCluster"),
-        label(decided.join(first, ["doc_id", "cluster_no"]).where("NOT concept <=> first_concept"), "ConceptMismatch"),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def errors(df: DataFrame, **found: Column) -> DataFrame:
+        return df.select(*ids, F.explode(F.array_compact(F.array(*[F.when(where, F.lit(error)) for error, where in found.items()]))).alias("error"))
+
+    return (
+        errors(
+            counts,
+            MissingDecision=(F.col("given") > 0) & ((F.col("judged") == 0) | unequal),
+            UnknownMention=(F.col("judged") > 0) & ((F.col("given") == 0) | unequal),
+            DuplicateDecision=F.col("judged") > 1,
+        )
+        .unionByName(errors(decided, MissingCluster=inside & F.col("cluster_no").isNull(), UnexpectedCluster=~inside & F.col("cluster_no").isNotNull()))
+        .unionByName(errors(linked, UnknownTarget=F.col("found").isNull(), LaterTarget=F.expr("t_sentence > sentence OR t_sentence = sentence AND target_id >= mention_id"), ForeignCluster=F.expr("found AND NOT t_cluster <=> cluster_no")))
+        .unionByName(errors(decided.join(first, ["doc_id", "cluster_no"]), ConceptMismatch=F.expr("NOT concept <=> first_concept")))
+    )
